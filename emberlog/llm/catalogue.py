@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import language_id
+from . import language_id, minhash_dedup, substring_dedup
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.query,
+    "op9_minhash_near_dedup": minhash_dedup.query,
     "op10_language_id": language_id.query,
 }
 ORACLE_SQL: dict[str, str] = {}
