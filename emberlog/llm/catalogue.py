@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language_id, minhash_dedup, substring_dedup
+from . import benchmark_decontamination, language_id, minhash_dedup, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
+    "op5_benchmark_decontamination": benchmark_decontamination.query,
     "op9_minhash_near_dedup": minhash_dedup.query,
     "op10_language_id": language_id.query,
 }
