@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import benchmark_decontamination, language_id, minhash_dedup, substring_dedup
+from . import benchmark_decontamination, language_id, minhash_dedup, packing, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
     "op5_benchmark_decontamination": benchmark_decontamination.query,
+    "op7_packing": packing.query,
     "op9_minhash_near_dedup": minhash_dedup.query,
     "op10_language_id": language_id.query,
 }
