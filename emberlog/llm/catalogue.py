@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import benchmark_decontamination, language_id, minhash_dedup, packing, substring_dedup
+from . import benchmark_decontamination, chat_format, embedding_dedup, language_id, minhash_dedup, packing, substring_dedup, url_filter
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
+    "op3_embedding_near_dedup": embedding_dedup.query,
     "op5_benchmark_decontamination": benchmark_decontamination.query,
+    "op6_chat_formatting": chat_format.query,
     "op7_packing": packing.query,
+    "op8_url_filter": url_filter.query,
     "op9_minhash_near_dedup": minhash_dedup.query,
     "op10_language_id": language_id.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_chat_formatting": chat_format.SQL}
