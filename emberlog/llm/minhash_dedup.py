@@ -6,8 +6,9 @@ are bucket keys, and all samples are folded into an odd sketch, a bitmap in whic
 bit, so that the XOR of two sketches keeps the samples in which they differ and its population count estimates the
 similarity. Links are confirmed in two passes, so that a bucket never becomes all its pairs:
 
-1. each node of a bucket is held against the bucket's leader (the node of the smallest hash, the same in all bands);
-   confirmed links give components, in which a group of copies is one component already;
+1. each node is held against two leaders of its buckets (a bucket's leader is its node of the smallest hash): the one
+   it shares most bands with and the first of all; confirmed links give components, in which most of a group of
+   copies is one component already;
 2. in buckets that still hold several components, the pairs of nodes of different components whose sketches are near
    enough are confirmed as well. A pair inside one component can't change the result and isn't looked at.
 
@@ -179,7 +180,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     shared = stored(banded.join(leaders, "bucket").select("bucket", "a", F.col("node").alias("b")))
     brief = nodes.select("node", "n", "sketch")
     side = lambda x: brief.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
-    stars = shared.where("a <> b").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").where(_near("a", "b")).select("a", "b")
+    # two leaders a node: the one it shares most bands with, and the first of all
+    met = shared.where("a <> b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("bands"))
+    chosen = met.groupBy("b").agg(F.max(F.struct("bands", F.xxhash64("a").alias("h"), "a")).alias("most"), F.min(F.struct(F.xxhash64("a").alias("h"), "a")).alias("first"))
+    stars = chosen.select(F.explode(F.array_distinct(F.array("most.a", "first.a"))).alias("a"), "b")
+    stars = stars.join(side("a"), "a").join(side("b"), "b").where(_near("a", "b")).select("a", "b")
     stars = stored(stars)
     links = stored(_confirmed(stars, nodes, documents))
     first = connected_components(links)
