@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import benchmark_decontamination, chat_format, embedding_dedup, language_id, minhash_dedup, packing, substring_dedup, url_filter
+from . import benchmark_decontamination, chat_format, embedding_dedup, language_id, minhash_dedup, packing, quality_classifier, substring_dedup, url_filter
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
     "op3_embedding_near_dedup": embedding_dedup.query,
+    "op4_quality_classifier": quality_classifier.query,
     "op5_benchmark_decontamination": benchmark_decontamination.query,
     "op6_chat_formatting": chat_format.query,
     "op7_packing": packing.query,
