@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import benchmark_decontamination, chat_format, embedding_dedup, language_id, minhash_dedup, packing, quality_classifier, substring_dedup, url_filter
+from . import benchmark_decontamination, chat_format, embedding_dedup, language_id, minhash_dedup, packing, quality_classifier, substring_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_substring_dedup": substring_dedup.query,
     "op3_embedding_near_dedup": embedding_dedup.query,
     "op4_quality_classifier": quality_classifier.query,
