@@ -32,6 +32,7 @@ TRAIN_ROWS = {0: 6000, 1: 4000}
 BEGINNINGS = (4, 5, 6, 7)  # letters of word beginnings that may become entries
 LEAST_TEXTS, LEAST_SHARE = 4, 0.004  # toxic texts of the sample that must hold an entry, and their share
 LEAST_WEIGHT = 2.0
+DOUBT = 1.0  # standard errors taken off an entry's log odds
 MOST_ENTRIES = 20_000
 THRESHOLD = 0.7
 
@@ -78,11 +79,11 @@ def fold(text: str | None) -> str:
 
 @dataclass
 class Lexicon:
-    """weights: by entry, ``" word "`` for a whole word or ``" begin"`` for a beginning; coefficients: of 1, log total, log density."""
+    """weights: by entry, ``" word "`` for a whole word or ``" begin"`` for a beginning; coefficients: of 1, any hit, log total, log density."""
 
     weights: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
-    coefficients: np.ndarray = field(default_factory=lambda: np.array([-4.0, 1.0, 1.5]))
+    coefficients: np.ndarray = field(default_factory=lambda: np.array([-4.0, -1.0, 1.5, 1.5]))
 
     def __post_init__(self):
         self._automaton = None
@@ -123,12 +124,12 @@ class Lexicon:
         return found
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        out = np.empty((len(texts), 3))
+        out = np.empty((len(texts), 4))
         for i, text in enumerate(texts):
             folded = fold(text)
             counts = Counter(self.hits(folded).values())
             total, words = sum(weight * (1 + math.log(n)) for (_, weight), n in counts.items()), max(0, folded.count(" ") - 1)
-            out[i] = 1, np.log1p(total), np.log1p(100 * total / (words + 20))
+            out[i] = 1, total > 0, np.log1p(total), np.log1p(100 * total / (words + 20))
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -148,17 +149,29 @@ def _entries(folded: str) -> set[str]:
 
 
 def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton steps; slopes can't be negative."""
+    """Logistic regression by damped Newton steps; those of the totals can't be negative."""
+
+    def loss(w):
+        z = x @ w
+        return np.logaddexp(0, z).sum() - y @ z + penalty / 2 * (w @ w)
+
     w = np.zeros(x.shape[1])
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) + penalty * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + (penalty + 1e-6) * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w = w - step
-        w[1:] = np.maximum(w[1:], 0)
-        if np.abs(step).max() < 1e-6:
+        free = (w > 0) | (grad < 0)
+        free[:2] = True
+        of = x[:, free]
+        step = np.zeros(len(w))
+        step[free] = np.linalg.solve((of * (p * (1 - p))[:, None]).T @ of + penalty * np.eye(free.sum()), grad[free])
+        for damp in 0.5 ** np.arange(12):
+            new = w - damp * step
+            new[2:] = np.maximum(new[2:], 0)
+            if loss(new) < loss(w) - 1e-9:
+                break
+        else:
             break
+        w = new
     return w
 
 
@@ -183,6 +196,7 @@ def _count(batches):
 def _chosen(counted: DataFrame, sizes: dict[int, int]) -> Lexicon:
     """The lexicon of (entry, toxic, clean) counts; sizes: texts by label."""
     weight = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
+    weight = weight - DOUBT * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     least = min(max(LEAST_TEXTS, LEAST_SHARE * sizes[1]), sizes[1])
     own = [f" {w} " for w in BUILT_IN]
     likely = counted.withColumn("weight", weight).where(((F.col("toxic") >= least) & (F.col("weight") >= LEAST_WEIGHT)) | F.col("entry").isin(*own))
@@ -217,11 +231,11 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "toxic") -> Lex
     def measure(batches):
         for batch in batches:
             texts, labels, halves = (c.to_pylist() for c in batch.columns)
-            x = np.array([other[h].features([t])[0] for t, h in zip(texts, halves, strict=True)]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 1]), pa.array(x[:, 2]), pa.array(labels, pa.int32())], ["total", "density", "label"])
+            x = np.array([other[h].features([t])[0] for t, h in zip(texts, halves, strict=True)]).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 2]), pa.array(x[:, 3]), pa.array(labels, pa.int32())], ["total", "density", "label"])
 
     got = sample.mapInArrow(measure, "total double, density double, label int").toPandas().sort_values(["label", "total", "density"])
-    lexicon.coefficients = _fit(np.column_stack([np.ones(len(got)), got["total"], got["density"]]), got["label"].to_numpy(float))
+    lexicon.coefficients = _fit(np.column_stack([np.ones(len(got)), got["total"] > 0, got["total"], got["density"]]), got["label"].to_numpy(float))
     return lexicon
 
 
