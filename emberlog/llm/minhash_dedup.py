@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mix, read, slices, stored, word_hashes, words_of
 from .components import connected_components
@@ -168,7 +169,10 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> Data
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """(doc_id, text) -> one row for each document: doc_id, n_shingles, component_id, kept."""
+    """(doc_id, text) -> one row for each document: doc_id, n_shingles, component_id, kept, node, group_id.
+
+    ``node`` is the digest of the document's set and ``group_id`` that of its component; both are null without words.
+    """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(documents.mapInArrow(_signatures, "doc_id long, n long, node long, bands array<long>, sketch array<long>"))
     # a node is a distinct set; a null doc_id can't be looked up, so any other id of the set stands for it
@@ -199,10 +203,31 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     grouped = connected_components(found)
     least = ids.join(grouped, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     smallest = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = least.join(smallest, "component").select("node", "component_id")
+    of_node = least.join(smallest, "component").select("node", "component_id", F.col("component").alias("group_id"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "node", "group_id")
+
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """The documents without near duplicates: of each group the row of the smallest (doc_id, node) stays, null ids last.
+
+    Documents without words all stay. Rows are told apart by doc_id and shingle set, so repeated ids do no harm.
+    """
+    names = documents.columns
+    found = near_duplicates(documents.select("doc_id", "text")).where("node is not null")
+    stays = found.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.node").alias("__of"))
+
+    def tag(batches):
+        for batch in batches:
+            for rows, data, offsets in slices(batch):
+                sums, bounds = shingle_sets(data, offsets)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(set_digests(sums, bounds).view(np.int64), mask=np.diff(bounds) == 0)], [*names, "__node"])
+
+    tagged = documents.mapInArrow(tag, T.StructType([*documents.schema.fields, T.StructField("__node", T.LongType())]))
+    joined = tagged.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__of")), "left")
+    kept = joined.where("__node is null or __of is not null").withColumn("__each", F.when(F.col("__node").isNull(), F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["doc_id", "__node", "__each"]).select(*[F.col(f"`{c}`") for c in names])
 
 
 def query(spark, sf_dir):
