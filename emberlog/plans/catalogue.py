@@ -4,7 +4,496 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import scoring, severity, text
+from ..operators import anomaly, clusters, correlation, digests, drain, parsing, semantic
+from ..streaming import live
+from .adapter import CLUSTERS_SQL, ENTRIES_SQL, entries, normalize_sql, sql_literal, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+BASE = f"WITH {ENTRIES_SQL}"
+RANKED = f"WITH {ENTRIES_SQL}, {CLUSTERS_SQL}"
+WIDTH = 3600  # seconds of a bucket where the automatic width would hide the shape
+
+
+def _query(name: str, sql: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def _six(*columns: str):
+    return [F.round(c, 6).alias(c) for c in columns]
+
+
+def _clusters(spark: SparkSession, sf_dir: str, top: int | None = None) -> tuple[DataFrame, DataFrame]:
+    return clusters.cluster_and_rank(entries(spark, sf_dir), top)
+
+
+# --- parsing ---------------------------------------------------------------------------------------------------------
+
+
+@_query("top_error_signatures", f"{RANKED} SELECT source, template, level, count, first_line, rep_message, component, rank FROM ran WHERE rank <= 10")
+def _top(spark, sf_dir):
+    return _clusters(spark, sf_dir, 10)[1].select("source", "template", "level", "count", "first_line", "rep_message", "component", "rank")
+
+
+def _parsed(spark, sf_dir, raw, fmt):
+    lines = entries(spark, sf_dir).select("source", "line_no", raw.alias("raw"))
+    return lines.withColumn("e", parsing.parse_with(F.col("raw"), fmt)).select("source", "line_no", "e.message", "e.level", "e.ts", "e.fields")
+
+
+@_query("parse_text_events", f"{BASE} SELECT source, line_no, message, level, date_trunc('second', ts) AS ts FROM lin")
+def _parse_text(spark, sf_dir):
+    return _parsed(spark, sf_dir, F.col("raw"), "text").drop("fields")
+
+
+@_query("parse_jsonl_events", f"{BASE} SELECT source, line_no, message, CASE WHEN level = 20 THEN NULL ELSE level END AS level, date_trunc('second', ts) AS ts, 'svc' AS service FROM ent")
+def _parse_json(spark, sf_dir):
+    name = F.when(F.col("level") == 20, F.lit(None)).otherwise(severity.level_name(F.col("level")))
+    raw = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.lower(name).alias("level"), F.col("message").alias("msg"), F.lit("svc").alias("service")))
+    return _parsed(spark, sf_dir, raw, "json").withColumn("service", F.try_element_at("fields", F.lit("service"))).drop("fields")
+
+
+@_query("parse_logfmt_events", f"{BASE} SELECT source, line_no, message, level, date_trunc('second', ts) AS ts, '2' AS seen FROM ent")
+def _parse_logfmt(spark, sf_dir):
+    raw = F.concat(F.lit("ts="), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" LEVEL="), F.lower(severity.level_name(F.col("level"))), F.lit(' seen=1 msg="'), F.col("message"), F.lit('" seen=2'))
+    return _parsed(spark, sf_dir, raw, "logfmt").withColumn("seen", F.try_element_at("fields", F.lit("seen"))).drop("fields")
+
+
+@_query(
+    "parse_clf_events",
+    f"""{BASE} SELECT source, line_no, 'GET /u/' || line_no || ' -> ' || CAST(100 + level * 10 AS VARCHAR) AS message,
+    CASE WHEN 100 + level * 10 >= 500 THEN 40 WHEN 100 + level * 10 >= 400 THEN 30 ELSE 20 END AS level, date_trunc('second', ts) AS ts, '10.0.0.1' AS ip FROM ent""",
+)
+def _parse_clf(spark, sf_dir):
+    raw = F.concat(F.lit("10.0.0.1 - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /u/'), F.col("line_no").cast("string"), F.lit(' HTTP/1.1" '), (100 + F.col("level") * 10).cast("string"), F.lit(' 12 "-" "curl"'))
+    return _parsed(spark, sf_dir, raw, "clf").withColumn("ip", F.try_element_at("fields", F.lit("ip"))).drop("fields")
+
+
+@_query(
+    "parse_syslog_events",
+    f"""{BASE} SELECT source, line_no, '[app] ' || message AS message, CASE line_no % 8 WHEN 0 THEN 50 WHEN 1 THEN 50 WHEN 2 THEN 50 WHEN 3 THEN 40 WHEN 4 THEN 30 WHEN 5 THEN 25 WHEN 6 THEN 20 ELSE 10 END AS level,
+    CASE WHEN line_no % 2 = 0 THEN date_trunc('second', ts) ELSE make_timestamp(1900, month(ts), day(ts), hour(ts), minute(ts), CAST(second(ts) AS DOUBLE)) END AS ts FROM ent""",
+)
+def _parse_syslog(spark, sf_dir):
+    pri = F.concat(F.lit("<"), (16 * 8 + F.col("line_no") % 8).cast("string"), F.lit(">"))
+    new = F.concat(pri, F.lit("1 "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" host app 4711 ID47 - "), F.col("message"))
+    old = F.concat(pri, F.date_format("ts", "MMM d HH:mm:ss"), F.lit(" host app[77]: "), F.col("message"))
+    return _parsed(spark, sf_dir, F.when(F.col("line_no") % 2 == 0, new).otherwise(old), "syslog").drop("fields")
+
+
+def _conversation_lines(spark, sf_dir):
+    split = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), (F.col("conv_id") % 5).cast("string")).alias("source"), "conv_id", "turn", F.posexplode(F.split(F.concat(F.col("text"), F.lit("\n  at frame\n\n")), "\n")).alias("k", "value"))
+    n = F.row_number().over(Window.partitionBy("source").orderBy("conv_id", "turn", "k"))
+    return split.select("source", n.cast("long").alias("n"), "value")
+
+
+LINES_SQL = r"""
+WITH raw AS (SELECT 'c' || CAST(conv_id % 5 AS VARCHAR) AS source, conv_id, turn, string_split(text || chr(10) || '  at frame' || chr(10) || chr(10), chr(10)) AS parts FROM conversations),
+spl AS (SELECT source, conv_id, turn, unnest(parts) AS value, generate_subscripts(parts, 1) AS k FROM raw),
+num AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY conv_id, turn, k) AS n, value FROM spl),
+sta AS (SELECT *, CASE WHEN n = 1 OR trim(value) = '' OR NOT regexp_matches(value, '^(\s+|Traceback \(|\s*at\s+\w|\s*Caused by:|\s*\.\.\.\s+\d+\s+more|\s*File "|\s*[A-Za-z_.]+(?:Error|Exception):)') THEN 1 ELSE 0 END AS s FROM num),
+rec AS (SELECT source, n, value, sum(s) OVER (PARTITION BY source ORDER BY n ROWS UNBOUNDED PRECEDING) AS r FROM sta)
+"""
+
+
+@_query("stitch_multiline", LINES_SQL + "SELECT source, CAST(r AS BIGINT) AS n, string_agg(value, chr(10) ORDER BY n) AS value FROM rec GROUP BY source, r")
+def _stitch(spark, sf_dir):
+    return parsing.stitch_lines(_conversation_lines(spark, sf_dir))
+
+
+@_query("detect_format", "SELECT * FROM (VALUES ('j', 'json'), ('l', 'logfmt'), ('m', 'text'), ('s', 'syslog'), ('t', 'text'), ('w', 'clf')) AS t(source, format)")
+def _detect(spark, sf_dir):
+    e = entries(spark, sf_dir).where("line_no <= 40").select("line_no", "raw", "message")
+    stamp = F.lit("2026-06-14T09:03:14Z")
+    shapes = {
+        "t": F.col("raw"),
+        "j": F.to_json(F.struct("message")),
+        "l": F.concat(F.lit('level=info msg="'), F.col("message"), F.lit('"')),
+        "s": F.concat(F.lit("<34>1 "), stamp, F.lit(" host app 1 - - "), F.col("message")),
+        "w": F.concat(F.lit('1.2.3.4 - - [14/Jun/2026:09:03:14 +0000] "GET / HTTP/1.1" 200 '), F.col("line_no").cast("string")),
+        "m": F.when(F.col("line_no") % 2 == 0, F.to_json(F.struct("message"))).otherwise(F.col("raw")),
+    }
+    lines = e.select(F.explode(F.create_map(*[x for k, v in shapes.items() for x in (F.lit(k), v)])).alias("source", "value"), F.col("line_no").alias("n"))
+    return parsing.detect_formats(lines)
+
+
+@_query("severity_filter", f"{BASE} SELECT source, line_no, level, CASE level WHEN 50 THEN 'CRITICAL' WHEN 40 THEN 'ERROR' ELSE 'WARNING' END AS level_name FROM ent WHERE level >= 30")
+def _filter(spark, sf_dir):
+    return entries(spark, sf_dir).where(severity.at_least(F.col("level"), 30)).select("source", "line_no", "level", severity.level_name(F.col("level")).alias("level_name"))
+
+
+def _signs(level: int) -> str:
+    return sql_literal("|".join(dict(severity.SIGNS)[level]))
+
+
+@_query("infer_severity", f"SELECT doc_id, CASE WHEN regexp_matches(lower(text), {_signs(50)}) THEN 50 WHEN regexp_matches(lower(text), {_signs(40)}) THEN 40 WHEN regexp_matches(lower(text), {_signs(30)}) THEN 30 END AS level FROM documents")
+def _infer(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.lit("d").alias("source"), "doc_id", F.col("text").alias("message"), F.lit(None).cast("int").alias("level"))
+    return parsing.infer_levels(d).select("doc_id", "level")
+
+
+# --- templates, redaction --------------------------------------------------------------------------------------------
+
+
+@_query("normalize_events", f"{BASE} SELECT source, line_no, {normalize_sql('message')} AS template FROM ent")
+def _normalize_events(spark, sf_dir):
+    return entries(spark, sf_dir).select("source", "line_no", text.normalize(F.col("message")).alias("template"))
+
+
+@_query("normalize_documents", f"SELECT doc_id, {normalize_sql('text')} AS template FROM documents")
+def _normalize_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("template"))
+
+
+@_query("normalize_pages", f"SELECT page_id, {normalize_sql('url')} AS template FROM pages")
+def _normalize_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.normalize(F.col("url")).alias("template"))
+
+
+def _redact_sql(column: str, upto: int = len(text.SECRETS), skip: tuple[str, ...] = ("CREDITCARD",)) -> str:
+    out = column
+    for kind, pattern in text.SECRETS[:upto]:
+        if kind not in skip:
+            out = f"regexp_replace({out}, {sql_literal(pattern)}, '[REDACTED:{kind}]', 'g')"
+    return out
+
+
+ASCII_ONLY = "NOT regexp_matches(text, '[^\\x00-\\x7F]')"
+
+
+@_query("redact_text", f"SELECT doc_id, {_redact_sql('text', skip=())} AS redacted FROM documents WHERE lang = 'en' AND {ASCII_ONLY}")
+def _redact(spark, sf_dir):
+    """Of English texts in ASCII, where both engines' word boundaries agree; tests cover the others."""
+    ascii_text = table(spark, sf_dir, "documents").where((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return ascii_text.select("doc_id", text.redact(F.col("text")).alias("redacted"))
+
+
+@_query(
+    "redact_counts",
+    "SELECT doc_id, "
+    + ", ".join(f"CAST(len(regexp_extract_all({_redact_sql('text', i, ())}, {sql_literal(p)})) AS INTEGER) AS {k.lower()}" for i, (k, p) in enumerate(text.SECRETS))
+    + f" FROM documents WHERE lang = 'en' AND {ASCII_ONLY}",
+)
+def _redact_counts(spark, sf_dir):
+    ascii_text = table(spark, sf_dir, "documents").where((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
+    counted = text.redact_counted(ascii_text, "text")
+    return counted.select("doc_id", *[F.coalesce(F.try_element_at("counts", F.lit(k)), F.lit(0)).alias(k.lower()) for k, _ in text.SECRETS])
+
+
+@_query("signature_hash", f"{BASE} SELECT source, line_no, substr(sha1({normalize_sql('message')}), 1, 10) AS signature FROM ent")
+def _signature(spark, sf_dir):
+    return entries(spark, sf_dir).select("source", "line_no", text.signature(F.col("message")).alias("signature"))
+
+
+# --- clusters --------------------------------------------------------------------------------------------------------
+
+
+@_query("cluster_regex", f"{RANKED} SELECT source, template, level, count, timed, first_line, rep_message, first_seen, last_seen, round(score, 6) AS score FROM ran")
+def _cluster(spark, sf_dir):
+    return _clusters(spark, sf_dir)[1].select("source", "template", "level", "count", "timed", "first_line", "rep_message", "first_seen", "last_seen", *_six("score"))
+
+
+@_query("component_rollup", f"{RANKED} SELECT source, component, count(*) AS clusters, CAST(sum(count) AS BIGINT) AS events FROM ran GROUP BY source, component")
+def _rollup(spark, sf_dir):
+    return _clusters(spark, sf_dir)[1].groupBy("source", "component").agg(F.count(F.lit(1)).alias("clusters"), F.sum("count").alias("events"))
+
+
+@_query(
+    "loki_streams",
+    f"""{BASE}, row_ AS (SELECT source, CASE level WHEN 50 THEN 'critical' WHEN 40 THEN 'error' WHEN 30 THEN 'warning' WHEN 25 THEN 'notice' ELSE 'info' END AS level_name,
+    substr(sha1({normalize_sql('message')}), 1, 10) AS cluster, epoch_us(ts) * 1000 AS ts_ns, line_no, raw FROM lin)
+    SELECT source, level_name, cluster, count(*) AS n, sha1(string_agg(CAST(ts_ns AS VARCHAR) || ' ' || raw, chr(10) ORDER BY ts_ns, line_no)) AS digest FROM row_ GROUP BY source, level_name, cluster""",
+)
+def _streams(spark, sf_dir):
+    s = clusters.streams(entries(spark, sf_dir))
+    line = F.array_join(F.transform("values", lambda v: F.concat(v["ts_ns"].cast("string"), F.lit(" "), v["line"])), "\n")
+    return s.select("source", "level_name", "cluster", F.size("values").cast("long").alias("n"), F.sha1(line).alias("digest"))
+
+
+HALF = "(SELECT max(event_id) / 2 FROM events)"
+
+
+@_query(
+    "diff_signatures",
+    f"""{BASE}, tem AS (SELECT *, {normalize_sql('message')} AS template, line_no - 1 <= {HALF} AS early FROM ent WHERE level >= 30),
+    clu AS (SELECT early, template, level, count(*) AS count, level * 1000 + ln(1 + count(*)) AS score, min(line_no) AS first_line FROM tem GROUP BY early, template, level),
+    ran AS (SELECT *, row_number() OVER (PARTITION BY early ORDER BY score DESC, first_line) AS rank FROM clu),
+    one AS (SELECT * FROM ran QUALIFY row_number() OVER (PARTITION BY early, template ORDER BY rank DESC) = 1),
+    joi AS (SELECT coalesce(a.template, b.template) AS template, coalesce(a.level, b.level) AS level, coalesce(b.count, 0) AS before, coalesce(a.count, 0) AS after
+      FROM (SELECT * FROM one WHERE early) b FULL JOIN (SELECT * FROM one WHERE NOT early) a ON a.template = b.template)
+    SELECT template, level, before, after, after - before AS delta,
+      CASE WHEN before = 0 THEN 'new' WHEN after = 0 THEN 'resolved' WHEN after > before THEN 'worsened' WHEN after < before THEN 'improved' ELSE 'unchanged' END AS status FROM joi""",
+)
+def _diff(spark, sf_dir):
+    middle = table(spark, sf_dir, "events").agg((F.max("event_id") / 2).alias("middle"))
+    e = entries(spark, sf_dir).crossJoin(F.broadcast(middle)).withColumn("source", F.lit("all"))  # one row
+    early = F.col("line_no") - 1 <= F.col("middle")
+    before, after = clusters.cluster_and_rank(e.where(early))[1], clusters.cluster_and_rank(e.where(~early))[1]
+    return clusters.diff_clusters(before, after).drop("order")
+
+
+@_query("log_volume_by_level", f"{BASE} SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, level, count(*) AS n FROM ent GROUP BY 1, 2")
+def _volume(spark, sf_dir):
+    return entries(spark, sf_dir).groupBy(F.window("ts", "1 hour").alias("w"), "level").count().select(F.col("w.start").alias("start"), "level", F.col("count").alias("n"))
+
+
+@_query("top_error_clusters", f"{BASE} SELECT substr(sha1({normalize_sql('message')}), 1, 10) AS cluster, level, count(*) AS n FROM ent WHERE level >= 40 GROUP BY ALL ORDER BY n DESC, cluster, level LIMIT 15")
+def _top_clusters(spark, sf_dir):
+    e = entries(spark, sf_dir).where("level >= 40").groupBy(text.signature(F.col("message")).alias("cluster"), "level").agg(F.count(F.lit(1)).alias("n"))
+    return e.orderBy(F.desc("n"), "cluster", "level").limit(15)
+
+
+# --- time ------------------------------------------------------------------------------------------------------------
+
+LADDER = "CASE " + " ".join(f"WHEN span / {w} <= {anomaly.MOST_BUCKETS} THEN {w}" for w in anomaly.WIDTHS) + f" ELSE {anomaly.WIDTHS[-1]} END"
+GRID = f"""
+spa AS (SELECT source, min(ts) AS origin, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS span FROM ent WHERE ts IS NOT NULL GROUP BY source),
+cnt AS (SELECT e.source, (epoch_us(ts) - epoch_us(origin)) // ({WIDTH} * 1000000) AS idx, count(*) AS total, count(*) FILTER (level >= 40) AS errors, count(*) FILTER (level BETWEEN 30 AND 39) AS warnings
+  FROM ent e JOIN spa USING (source) GROUP BY 1, 2),
+slo AS (SELECT source, origin, unnest(generate_series(0, CAST(floor(span / {WIDTH}) AS BIGINT))) AS idx FROM spa),
+buc AS (SELECT source, idx, make_timestamp(epoch_us(origin) + idx * {WIDTH} * 1000000) AS start, coalesce(total, 0) AS total, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings
+  FROM slo LEFT JOIN cnt USING (source, idx))"""
+TIMED = f"WITH RECURSIVE {ENTRIES_SQL}, {GRID}"
+
+
+def _buckets(spark, sf_dir):
+    return anomaly.bucketize(entries(spark, sf_dir), WIDTH)
+
+
+@_query("bucket_width", f"{BASE}, spa AS (SELECT source, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS span, min(ts) AS origin FROM ent GROUP BY source) SELECT source, origin, CAST({LADDER} AS INTEGER) AS width FROM spa")
+def _width(spark, sf_dir):
+    return anomaly.spans(entries(spark, sf_dir)).select("source", "origin", "width")
+
+
+@_query("bucketize", f"{TIMED} SELECT * FROM buc")
+def _bucketize(spark, sf_dir):
+    return _buckets(spark, sf_dir).drop("width")
+
+
+BASELINE = "bas AS (SELECT hour(start) AS hour, avg(errors) AS expected FROM buc WHERE source <> 'shard0' GROUP BY 1), ove AS (SELECT avg(errors) AS overall FROM buc WHERE source <> 'shard0')"
+
+
+@_query("baseline_by_hour", f"{TIMED}, {BASELINE} SELECT CAST(hour AS INTEGER) AS hour, round(expected, 6) AS expected, round(overall, 6) AS overall FROM bas, ove")
+def _baseline(spark, sf_dir):
+    return anomaly.learn_baseline(_buckets(spark, sf_dir).where("source <> 'shard0'")).select("hour", *_six("expected", "overall"))
+
+
+@_query("seasonal_z", f"{TIMED}, {BASELINE} SELECT source, idx, errors, round((errors - coalesce(expected, overall)) / sqrt(coalesce(expected, overall) + 1), 6) AS z FROM buc LEFT JOIN bas ON hour(start) = bas.hour, ove WHERE source = 'shard0'")
+def _seasonal(spark, sf_dir):
+    b = _buckets(spark, sf_dir)
+    return anomaly.seasonal_z(b.where("source = 'shard0'"), anomaly.learn_baseline(b.where("source <> 'shard0'"))).select("source", "idx", "errors", *_six("z"))
+
+
+EWMA = """
+ewm AS (
+  SELECT source, idx, start, errors, CAST(errors AS DOUBLE) AS mean, CAST(0 AS DOUBLE) AS var, CAST(0 AS DOUBLE) AS z FROM buc WHERE idx = 0
+  UNION ALL
+  SELECT b.source, b.idx, b.start, b.errors, e.mean + 0.3 * (b.errors - e.mean), 0.7 * (e.var + 0.3 * (b.errors - e.mean) * (b.errors - e.mean)),
+    CASE WHEN sqrt(e.var) > 1e-9 THEN (b.errors - e.mean) / sqrt(e.var) WHEN b.errors > e.mean THEN CAST('inf' AS DOUBLE) ELSE 0 END
+  FROM ewm e JOIN buc b ON b.source = e.source AND b.idx = e.idx + 1)"""
+
+
+@_query("ewma_zscore", f"{TIMED}, {EWMA} SELECT source, idx, errors, round(least(z, 1e6), 6) AS z FROM ewm")
+def _ewma(spark, sf_dir):
+    return anomaly.ewma_z(_buckets(spark, sf_dir)).select("source", "idx", "errors", F.round(F.least("z", F.lit(1e6)), 6).alias("z"))
+
+
+SPIKES = "spi AS (SELECT * FROM (SELECT *, coalesce(avg(errors) OVER (PARTITION BY source ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS baseline FROM ewm) WHERE z >= 2.5 AND errors > 0)"
+
+
+@_query("spikes", f"{TIMED}, {EWMA}, {SPIKES} SELECT source, idx, start, errors, round(least(z, 1e6), 6) AS z, round(baseline, 6) AS baseline FROM spi")
+def _spikes(spark, sf_dir):
+    return anomaly.spikes(anomaly.ewma_z(_buckets(spark, sf_dir))).select("source", "idx", "start", "errors", F.round(F.least("z", F.lit(1e6)), 6).alias("z"), *_six("baseline"))
+
+
+CUSUM = """
+med AS (SELECT source, quantile_cont(errors, 0.5) AS centre FROM buc GROUP BY source),
+mad AS (SELECT source, any_value(centre) AS centre, quantile_cont(abs(errors - centre), 0.5) * 1.4826 AS m FROM buc JOIN med USING (source) GROUP BY source),
+sca AS (SELECT source, centre, CASE WHEN m <= 0 THEN 1.0 ELSE m END AS scale FROM mad),
+cum AS (SELECT source, idx, start, errors, centre, scale, sum(errors - centre - 0.5 * scale) OVER (PARTITION BY source ORDER BY idx ROWS UNBOUNDED PRECEDING) AS p FROM buc JOIN sca USING (source)),
+cus AS (SELECT *, p - least(0, min(p) OVER (PARTITION BY source ORDER BY idx ROWS UNBOUNDED PRECEDING)) AS s FROM cum),
+cha AS (SELECT source, min(start) AS changed FROM cus WHERE s > 4 * scale AND errors > centre GROUP BY source)"""
+
+
+@_query("median_mad", f"{TIMED}, {CUSUM} SELECT source, round(centre, 6) AS centre, round(scale, 6) AS scale FROM sca")
+def _mad(spark, sf_dir):
+    return anomaly.robust_centre(_buckets(spark, sf_dir)).select("source", *_six("centre", "scale"))
+
+
+@_query("cusum", f"{TIMED}, {CUSUM} SELECT source, idx, round(s, 4) AS s FROM cus")
+def _cusum(spark, sf_dir):
+    return anomaly.cusum(_buckets(spark, sf_dir)).select("source", "idx", F.round("s", 4).alias("s"))
+
+
+@_query("cusum_onset", f"{TIMED}, {CUSUM} SELECT * FROM cha")
+def _change(spark, sf_dir):
+    return anomaly.change_point(_buckets(spark, sf_dir))
+
+
+@_query(
+    "onset",
+    f"""{TIMED}, {EWMA}, {SPIKES}, {CUSUM}, fir AS (SELECT source, min(start) AS spiked, arg_min(z, idx) AS z, count(*) AS n FROM spi GROUP BY source),
+    ons AS (SELECT s.source, least(spiked, changed) AS onset, z, coalesce(n, 0) AS spikes FROM sca s LEFT JOIN fir USING (source) LEFT JOIN cha USING (source))
+    SELECT o.source, any_value(onset) AS onset, round(coalesce(avg(errors) FILTER (onset IS NULL OR start < onset), 0), 6) AS baseline_errors, max(errors) AS peak_errors, any_value(spikes) AS spikes,
+      round(any_value(CASE WHEN spikes > 0 THEN 1 / (1 + exp(-(0.9 * (CASE WHEN isinf(z) THEN 6 ELSE greatest(z, 0) END - 2.5) + 0.5 * greatest(spikes - 1, 0)))) WHEN onset IS NOT NULL THEN 0.6 ELSE 0 END), 6) AS onset_confidence
+    FROM ons o JOIN buc USING (source) GROUP BY o.source""",
+)
+def _onset(spark, sf_dir):
+    b = _buckets(spark, sf_dir)
+    return anomaly.onset(b, anomaly.spikes(anomaly.ewma_z(b))).select("source", "onset", *_six("baseline_errors"), "peak_errors", "spikes", *_six("onset_confidence"))
+
+
+WIN = f"""
+win AS (SELECT source, template, level, ts, count(*) OVER w AS held, min(ts) OVER w AS start FROM tem WHERE ts IS NOT NULL
+  WINDOW w AS (PARTITION BY source, template, level ORDER BY ts RANGE BETWEEN INTERVAL {WIDTH} SECONDS PRECEDING AND CURRENT ROW)),
+den AS (SELECT source, template, level, count(*) AS events, max(held) AS peak_count FROM win GROUP BY ALL),
+pea AS (SELECT d.*, min(start) AS peak_start FROM den d JOIN win w USING (source, template, level) WHERE held = peak_count GROUP BY ALL)"""
+
+
+@_query("burst_windows", f"{RANKED}, {WIN} SELECT source, template, level, events, peak_count, peak_start FROM pea")
+def _windows(spark, sf_dir):
+    assigned, _ = _clusters(spark, sf_dir)
+    return anomaly.densest_windows(assigned, anomaly.spans(entries(spark, sf_dir), WIDTH), ["source", "template", "level"])
+
+
+# --- correlation -----------------------------------------------------------------------------------------------------
+
+TOP = 25
+TIMELINE = f"""
+tim AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY first_seen, rank) - 1 AS "order" FROM ran WHERE rank <= {TOP} AND first_seen IS NOT NULL),
+ori AS (SELECT source, min(first_seen) AS origin FROM tim GROUP BY source),
+occ AS (SELECT DISTINCT t.source, l."order", (epoch_us(t.ts) - epoch_us(origin)) // ({WIDTH} * 1000000) AS idx FROM tem t JOIN tim l ON t.source = l.source AND t.template = l.template AND t.level = l.level JOIN ori ON ori.source = t.source),
+siz AS (SELECT source, "order", count(*) AS n FROM occ GROUP BY ALL),
+pai AS (SELECT a.source, a."order" AS cause, b."order" AS effect, count(*) AS shared FROM occ a JOIN occ b ON a.source = b.source AND a.idx = b.idx AND a."order" < b."order" GROUP BY ALL),
+jac AS (SELECT p.*, shared / (x.n + y.n - shared) AS jaccard FROM pai p JOIN siz x ON x.source = p.source AND x."order" = cause JOIN siz y ON y.source = p.source AND y."order" = effect),
+can AS (SELECT j.source, cause, effect, jaccard, (epoch_us(e.first_seen) - epoch_us(c.first_seen)) / 1e6 AS lag, c.level >= e.level AS ordered, row_number() OVER (PARTITION BY j.source, effect ORDER BY cause) AS k
+  FROM jac j JOIN tim c ON c.source = j.source AND c."order" = cause JOIN tim e ON e.source = j.source AND e."order" = effect
+  WHERE c.first_seen < e.first_seen AND (epoch_us(e.first_seen) - epoch_us(c.first_seen)) / 1e6 <= 600 AND jaccard >= 0.2),
+fol AS (
+  SELECT source, effect, k, cause, jaccard, lag, ordered FROM can WHERE k = 1
+  UNION ALL
+  SELECT c.source, c.effect, c.k, CASE WHEN c.jaccard > round(f.jaccard, 3) THEN c.cause ELSE f.cause END, CASE WHEN c.jaccard > round(f.jaccard, 3) THEN c.jaccard ELSE f.jaccard END,
+    CASE WHEN c.jaccard > round(f.jaccard, 3) THEN c.lag ELSE f.lag END, CASE WHEN c.jaccard > round(f.jaccard, 3) THEN c.ordered ELSE f.ordered END
+  FROM fol f JOIN can c ON c.source = f.source AND c.effect = f.effect AND c.k = f.k + 1),
+lin_ AS (SELECT * FROM fol QUALIFY row_number() OVER (PARTITION BY source, effect ORDER BY k DESC) = 1)"""
+LINKED = f"WITH RECURSIVE {ENTRIES_SQL}, {CLUSTERS_SQL}, {TIMELINE}"
+
+
+def _correlated(spark, sf_dir):
+    assigned, ranked = _clusters(spark, sf_dir, TOP)
+    return assigned, ranked, anomaly.spans(entries(spark, sf_dir), WIDTH)
+
+
+@_query("timeline", f'{LINKED} SELECT source, template, level, "order", first_seen, component FROM tim')
+def _timeline(spark, sf_dir):
+    return correlation.timeline(_correlated(spark, sf_dir)[1]).select("source", "template", "level", F.col("order").cast("long").alias("order"), "first_seen", "component")
+
+
+@_query("occupancy_jaccard", f"{LINKED} SELECT source, cause, effect, shared, round(jaccard, 6) AS jaccard FROM jac")
+def _jaccard(spark, sf_dir):
+    assigned, ranked, widths = _correlated(spark, sf_dir)
+    return correlation.overlaps(correlation.occupancy(assigned, correlation.timeline(ranked), widths)).select("source", F.col("cause").cast("long").alias("cause"), F.col("effect").cast("long").alias("effect"), "shared", *_six("jaccard"))
+
+
+@_query("cascade_links", f"{LINKED} SELECT source, cause, effect, round(lag, 6) AS lag_seconds, round(jaccard, 6) AS score, round(1 / (1 + exp(-(4 * jaccard + 1.5 * (1 - least(lag / 600, 1)) + CASE WHEN ordered THEN 0.6 ELSE -0.6 END - 2.5))), 6) AS confidence FROM lin_")
+def _links(spark, sf_dir):
+    found = correlation.correlate(*_correlated(spark, sf_dir))[1]
+    return found.select("source", F.col("cause").cast("long").alias("cause"), F.col("effect").cast("long").alias("effect"), *_six("lag_seconds", "score", "confidence"))
+
+
+@_query(
+    "trigger",
+    f"""{LINKED}, nod AS (SELECT t.source, t."order", first_seen, level, (SELECT count(*) FROM lin_ l WHERE l.source = t.source AND l.cause = t."order") AS effects,
+      (SELECT count(*) FROM lin_ l WHERE l.source = t.source AND l.effect = t."order") AS inbound, dense_rank() OVER (PARTITION BY t.source ORDER BY level) AS place FROM tim t),
+    lev AS (SELECT source, count(DISTINCT level) AS levels FROM tim GROUP BY source),
+    pic AS (SELECT n.*, effects > 0 AND inbound = 0 AS is_root, place / levels AS severity_rank FROM nod n JOIN lev USING (source)
+      QUALIFY row_number() OVER (PARTITION BY n.source ORDER BY CASE WHEN effects > 0 AND inbound = 0 THEN 0 WHEN level >= 40 THEN 1 ELSE 2 END, first_seen, CASE WHEN effects > 0 AND inbound = 0 THEN -level ELSE 0 END, "order") = 1)
+    SELECT source, "order" AS trigger, is_root, effects, round(severity_rank, 6) AS severity_rank, round(1 / (1 + exp(-(CASE WHEN is_root THEN 1.2 ELSE -0.5 END + 0.5 * effects + 0.3 * severity_rank - 1))), 6) AS confidence FROM pic""",
+)
+def _trigger(spark, sf_dir):
+    t = correlation.correlate(*_correlated(spark, sf_dir))[2]
+    return t.select("source", F.col("trigger").cast("long").alias("trigger"), "is_root", "effects", *_six("severity_rank", "confidence"))
+
+
+@_query("affected_components", f'{LINKED} SELECT source, coalesce(component, \'(uncomponented)\') AS component, min("order") AS first FROM tim GROUP BY ALL')
+def _components(spark, sf_dir):
+    c = correlation.components_in_order(correlation.timeline(_correlated(spark, sf_dir)[1]))
+    return c.select("source", "component", F.col("first").cast("long").alias("first"))
+
+
+@_query(
+    "confidence_scores",
+    """WITH v AS (SELECT event_id, value / 100 AS c, event_id % 50 AS n FROM events),
+    s AS (SELECT event_id, 1 / (1 + exp(-(4 * (c - 0.6) + 0.4 * ln(1 + n) - 0.5))) AS burst, 1 / (1 + exp(-(0.9 * (greatest(c * 10, 0) - 2.5) + 0.5 * greatest(n - 1, 0)))) AS onset FROM v)
+    SELECT event_id, round(burst, 6) AS burst, round(onset, 6) AS onset, CASE WHEN burst >= 0.8 THEN 'high' WHEN burst >= 0.55 THEN 'moderate' WHEN burst >= 0.35 THEN 'low' ELSE 'tentative' END AS label FROM s""",
+)
+def _scores(spark, sf_dir):
+    v = table(spark, sf_dir, "events").select("event_id", (F.col("value") / 100).alias("c"), (F.col("event_id") % 50).alias("n"))
+    s = v.select("event_id", scoring.burst(F.col("c"), F.col("n")).alias("burst"), scoring.onset(F.col("c") * 10, F.col("n")).alias("onset"))
+    return s.select("event_id", *_six("burst", "onset"), scoring.label(F.col("burst")).alias("label"))
+
+
+# --- wording, mining, digests, streams ---------------------------------------------------------------------------------
+
+
+@_query(
+    "tfidf_cosine",
+    f"""{RANKED}, tok AS (SELECT source, rank, unnest(regexp_extract_all(lower(template), '[a-z]+')) AS token FROM ran WHERE rank <= {TOP}),
+    cou AS (SELECT source, rank, token, count(*) AS n FROM tok GROUP BY ALL), tot AS (SELECT source, rank, sum(n) AS words FROM cou GROUP BY ALL),
+    dfs AS (SELECT source, token, count(*) AS df FROM cou GROUP BY ALL), num AS (SELECT source, count(*) AS clusters FROM ran WHERE rank <= {TOP} GROUP BY source),
+    wei AS (SELECT c.source, c.rank, c.token, n / words * (ln((clusters + 1) / (df + 1)) + 1) AS w FROM cou c JOIN tot USING (source, rank) JOIN dfs USING (source, token) JOIN num USING (source)),
+    nor AS (SELECT source, rank, sqrt(sum(w * w)) AS norm FROM wei GROUP BY ALL)
+    SELECT a.source, a.rank AS a, b.rank AS b, round(sum(a.w * b.w) / (any_value(x.norm) * any_value(y.norm)), 6) AS cosine FROM wei a JOIN wei b ON a.source = b.source AND a.token = b.token AND a.rank < b.rank
+    JOIN nor x ON x.source = a.source AND x.rank = a.rank JOIN nor y ON y.source = b.source AND y.rank = b.rank GROUP BY a.source, a.rank, b.rank""",
+)
+def _cosine(spark, sf_dir):
+    pairs = semantic.similar_pairs(semantic.tfidf(_clusters(spark, sf_dir, TOP)[1]), -1.0)
+    return pairs.select("source", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), *_six("cosine"))
+
+
+@_query("semantic_merge")
+def _merge(spark, sf_dir):
+    return semantic.merge_similar(_clusters(spark, sf_dir, TOP)[1]).select("source", "template", "level", "count", "rank")
+
+
+@_query("drain_templates")
+def _drain(spark, sf_dir):
+    return drain.mine(entries(spark, sf_dir).where("level >= 30"))
+
+
+@_query("drain_clusters")
+def _drain_clusters(spark, sf_dir):
+    return clusters.cluster_and_rank(entries(spark, sf_dir), 10, method="drain")[1].select("source", "template", "level", "count", "rank")
+
+
+DIGEST = """'[' || CASE level WHEN 50 THEN 'CRITICAL' WHEN 40 THEN 'ERROR' ELSE 'WARNING' END || ' x' || count || '] | window ' || strftime(first_seen, '%Y-%m-%dT%H:%M:%S') || ' → ' || strftime(last_seen, '%Y-%m-%dT%H:%M:%S')
+      || chr(10) || '  template: ' || template || chr(10) || '  example:  ' || rep_message"""
+
+
+@_query(
+    "token_budget_pack",
+    f"""WITH RECURSIVE {ENTRIES_SQL}, {CLUSTERS_SQL}, dig AS (SELECT source, rank, {DIGEST} AS digest FROM ran WHERE rank <= {TOP}),
+    est AS (SELECT *, greatest(1, length(digest) // 4) AS tokens FROM dig),
+    pac AS (SELECT source, rank, digest, tokens, 0 AS batch, tokens AS used FROM est WHERE rank = 1
+      UNION ALL SELECT e.source, e.rank, e.digest, e.tokens, CASE WHEN p.used + e.tokens > 200 THEN p.batch + 1 ELSE p.batch END, CASE WHEN p.used + e.tokens > 200 THEN e.tokens ELSE p.used + e.tokens END FROM pac p JOIN est e ON e.source = p.source AND e.rank = p.rank + 1)
+    SELECT source, rank, digest, CAST(tokens AS INTEGER) AS tokens, batch FROM pac""",
+)
+def _pack(spark, sf_dir):
+    return digests.pack(digests.build_digests(_clusters(spark, sf_dir, TOP)[1]), 200).select("source", F.col("rank").cast("long").alias("rank"), "digest", "tokens", "batch")
+
+
+@_query("stream_novelty", f"{BASE}, tem AS (SELECT source, line_no, level, {normalize_sql('message')} AS template FROM ent WHERE level >= 40) SELECT source, line_no, level, template, row_number() OVER (PARTITION BY source, template ORDER BY line_no) = 1 AS is_new FROM tem")
+def _novelty(spark, sf_dir):
+    """The streaming job over all of ``events``, until it has nothing left to read."""
+    return live.novelty_of_table(spark, entries(spark, sf_dir), 40)
