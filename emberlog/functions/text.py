@@ -59,22 +59,26 @@ def template_signature(template: Column) -> Column:
     return F.substring(F.sha1(template), 1, 10)
 
 
-def redact(text: Column) -> Column:
+KINDS = tuple(kind for kind, _ in SECRETS)
+
+
+def redact(text: Column, kinds: tuple[str, ...] = KINDS) -> Column:
     """The text with what is secret or personal replaced by ``[REDACTED:KIND]``."""
-    return reduce(lambda x, rule: F.regexp_replace(x, "(?U)" + rule[1], f"[REDACTED:{rule[0]}]"), SECRETS, text)
+    return reduce(lambda x, rule: F.regexp_replace(x, "(?U)" + rule[1], f"[REDACTED:{rule[0]}]") if rule[0] in kinds else x, SECRETS, text)
 
 
-def redact_counted(df, column: str, text: str = "redacted", counts: str = "counts"):
+def redact_counted(df, column: str, text: str = "redacted", counts: str = "counts", kinds: tuple[str, ...] = KINDS):
     """A DataFrame with the redacted text and how often each kind was found, on the text as redacted so far.
 
     Each rule is a column of its own, so that its count and the next rule read the same text.
     """
-    steps = [f"__r{i}" for i in range(len(SECRETS) + 1)]
+    rules = [r for r in SECRETS if r[0] in kinds]
+    steps = [f"__r{i}" for i in range(len(rules) + 1)]
     df = df.withColumn(steps[0], F.col(column))
-    for i, (kind, pattern) in enumerate(SECRETS):
+    for i, (kind, pattern) in enumerate(rules):
         df = df.withColumn(f"__n{i}", F.regexp_count(steps[i], F.lit("(?U)" + pattern))).withColumn(steps[i + 1], F.regexp_replace(steps[i], "(?U)" + pattern, f"[REDACTED:{kind}]"))
-    found = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(kind).alias("k"), F.col(f"__n{i}").alias("n")) for i, (kind, _) in enumerate(SECRETS)]), lambda e: e["n"] > 0))
-    return df.withColumn(counts, found).withColumn(text, F.col(steps[-1])).drop(*steps, *[f"__n{i}" for i in range(len(SECRETS))])
+    found = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(kind).alias("k"), F.col(f"__n{i}").alias("n")) for i, (kind, _) in enumerate(rules)]), lambda e: e["n"] > 0))
+    return df.withColumn(counts, found).withColumn(text, F.col(steps[-1])).drop(*steps, *[f"__n{i}" for i in range(len(rules))])
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -50,8 +50,9 @@ def normalize_sql(column: str) -> str:
     return f"trim({out})"
 
 
-CLUSTERS_SQL = f"""
-tem AS (SELECT *, {normalize_sql('message')} AS template FROM ent WHERE level >= 30),
+def clusters_sql(least: int = 30) -> str:
+    return f"""
+tem AS (SELECT *, {normalize_sql('message')} AS template FROM ent WHERE level >= {least}),
 clu AS (
   SELECT source, template, level, count(*) AS count, count(ts) AS timed, min(line_no) AS first_line, arg_min(message, line_no) AS rep_message,
     min(ts) AS first_seen, max(ts) AS last_seen, level * 1000 + ln(1 + count(*)) AS score

@@ -84,3 +84,26 @@ def novelty_of_table(spark: SparkSession, entries: DataFrame, least: int) -> Dat
     kept.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(kept.schema).parquet(f"{folder}/in")
     return run_available(flag_new(stream), folder).select("source", "line_no", "level", "template", "is_new")
+
+
+def head_format(spark: SparkSession, path: str, sample: int = 20) -> str:
+    """The format of a growing file by its first ``sample`` lines, blank ones among them; text if it is empty."""
+    from ..operators.parsing import detect_formats
+    from ..sources.text import from_iterable
+
+    head = [r["value"] for r in spark.read.text(path).limit(sample).collect()]
+    found = detect_formats(from_iterable(spark, head, path), sample).first() if head else None
+    return found["format"] if found else "text"
+
+
+def each_batch(entries_stream: DataFrame, analyse, folder: str, **trigger):
+    """Re-run a batch analysis on all entries so far whenever new ones come: ``analyse(entries DataFrame, batch id)``.
+
+    The entries of each batch are laid down as Parquet and the analysis reads them all back, as a batch job.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        analyse(batch.sparkSession.read.parquet(folder).drop("batch"), number)
+
+    return entries_stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}-state").trigger(**(trigger or {"availableNow": True})).start()
