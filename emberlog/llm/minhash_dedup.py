@@ -6,11 +6,14 @@ are bucket keys, and all samples are folded into an odd sketch, a bitmap in whic
 bit, so that the XOR of two sketches keeps the samples in which they differ and its population count estimates the
 similarity. Links are confirmed in two passes, so that a bucket never becomes all its pairs:
 
-1. each node is held against two leaders of its buckets (a bucket's leader is its node of the smallest hash): the one
-   it shares most bands with and the first of all; confirmed links give components, in which most of a group of
-   copies is one component already;
-2. in buckets that still hold several components, the pairs of nodes of different components whose sketches are near
-   enough are confirmed as well. A pair inside one component can't change the result and isn't looked at.
+1. each node of a bucket is held against the bucket's leader (its node of the smallest hash); confirmed links give
+   components, in which a group of copies is one component already;
+2. where the buckets of one leader still hold several components, their nodes are compared by sketch, and by their full
+   sets where sketches are near enough, inside the task where they meet. A pair inside one component can't change the
+   result and isn't looked at; over ``MEETING`` nodes are compared block by block in tasks of their own.
+
+A row of a bucket carries one bit of each of 64 samples; nodes that differ in over ``MOST_BITS`` of them, which four
+standard deviations put below the threshold, aren't paired at all.
 
 The chance that bands miss a pair of similarity 0.75 is (1 - 0.75^ROWS)^BANDS, about 2e-5; the sketch's bound is more
 than four standard deviations below the threshold. Nothing is capped: every pair that bands propose is judged.
@@ -28,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, read, slices, stored, word_hashes, words_of
+from .common import groups, mix, read, slices, stored, word_hashes, words_of
 from .components import connected_components
 
 WIDTH = 5  # words of a shingle
 NUM, DEN = 75, 100  # documents link at NUM / DEN similarity and above
 ROWS, BANDS = 5, 40
 SKETCH_WORDS = 8  # 64-bit words of an odd sketch
+MOST_BITS = 18  # of the 64 bits that a bucket's rows carry may differ; at similarity 0.75 it is 8 +- 2.6
+MEETING = 1024
 LEAST_ESTIMATE = 0.60  # sketches estimating less than this aren't confirmed
 
 _is_word = np.ones(256, bool)
@@ -116,6 +121,12 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8), axis=1).view(np.uint64)
 
 
+def brief_bits(samples: np.ndarray) -> np.ndarray:
+    """One bit of each of the first 64 samples."""
+    bits = (mix(samples[:, :64].astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(63)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.uint64).ravel()
+
+
 def set_digests(sums: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A 64-bit digest of each set."""
     n = np.diff(bounds)
@@ -133,7 +144,7 @@ def _signatures(batches):
             n = np.diff(bounds)
             keys, sketches = band_keys(samples), odd_sketches(samples)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel().view(np.int64))) for x in (keys, sketches)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), pa.array(set_digests(sums, bounds).view(np.int64)), *lists], ["doc_id", "n", "node", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), pa.array(set_digests(sums, bounds).view(np.int64)), pa.array(brief_bits(samples).view(np.int64)), *lists], ["doc_id", "n", "node", "bits", "bands", "sketch"])
 
 
 def _sets(batches):
@@ -156,50 +167,121 @@ def _near(a: str, b: str):
     return (F.col(f"{a}_n") * DEN >= F.col(f"{b}_n") * NUM) & (F.col(f"{b}_n") * DEN >= F.col(f"{a}_n") * NUM) & (estimate(f"{a}_sketch", f"{b}_sketch") >= LEAST_ESTIMATE)
 
 
+def _sets_of(wanted: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted nodes, from one document of each."""
+    ids = wanted.join(nodes.select("node", "doc_id"), "node").select(F.col("doc_id").alias("wanted")).distinct()
+    texts = documents.join(ids, F.col("doc_id") == F.col("wanted"), "left_semi").select("doc_id", "text")
+    return stored(texts.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """The (a, b) pairs whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node").select("doc_id").distinct()
-    texts = documents.join(wanted.withColumnRenamed("doc_id", "wanted"), F.col("doc_id") == F.col("wanted"), "left_semi").select("doc_id", "text")
-    sets = texts.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"])
-    sets = stored(sets)
+    sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, documents)
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(DEN * common >= NUM * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _links_across(shared: DataFrame, components: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links between different components among the nodes that share buckets of one leader: compared by sketch where they meet, and where those are near
+    enough, by their full sets. Tasks hand on nodes and links that join components, never pairs."""
+    placed = shared.select(F.col("a").alias("leader"), F.col("b").alias("node")).distinct().join(components, "node", "left").select("leader", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    mixed = stored(mixed.select("leader", F.ceil(F.col("size") / MEETING).cast("int").alias("blocks")))
+    met = placed.join(mixed, "leader").join(nodes.select("node", "n", "sketch"), "node")
+    met = met.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other"))
+    met = met.select(task.alias("task"), "node", "component", "n", "sketch", (F.col("own") > F.col("other")).alias("side"), (F.col("own") == F.col("other")).alias("same"))
+    near = stored(met.repartition("task").sortWithinPartitions("task").mapInArrow(_near_nodes, met.schema))
+    sets = _sets_of(near.select("node").distinct(), nodes, documents)
+    with_sets = near.join(sets, "node")
+    return stored(with_sets.repartition("task").sortWithinPartitions("task").mapInArrow(_joining_links, "a long, b long")).distinct()
+
+
+class _Meeting:
+    """The nodes of a task's group, and which pairs of them are to be looked at."""
+
+    def __init__(self, group: pa.Table):
+        get = lambda c: group.column(c).to_numpy()
+        self.node, self.component, self.n, self.side, self.same = get("node"), get("component"), get("n"), get("side"), get("same")
+        self.sketch = group.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
+
+    def pairs(self):
+        """(i, j, estimate) arrays, a block of rows at a time: different components, sizes and sketches near enough."""
+        size, k = 64 * SKETCH_WORDS, len(self.node)
+        for a in range(0, k, 256):
+            i, j = np.nonzero(self.component[a : a + 256, None] != self.component[None, :])
+            i += a
+            ok = (i < j) & ((self.side[i] != self.side[j]) | self.same[i]) & (self.n[i] * DEN >= self.n[j] * NUM) & (self.n[j] * DEN >= self.n[i] * NUM)
+            i, j = i[ok], j[ok]
+            for at in range(0, len(i), 1 << 16):
+                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                differ = np.bitwise_count(self.sketch[p] ^ self.sketch[q]).sum(axis=1)
+                guess = 1 + np.log(np.maximum(1 / size, 1 - 2.0 * differ / size)) * (size / (4.0 * ROWS * BANDS))
+                ok = guess >= LEAST_ESTIMATE
+                yield p[ok], q[ok], guess[ok]
+
+
+def _near_nodes(batches):
+    for group in groups(batches, "task"):
+        meeting = _Meeting(group)
+        some = np.zeros(group.num_rows, bool)
+        for i, j, _ in meeting.pairs():
+            some[i] = some[j] = True
+        if some.any():
+            yield from group.filter(pa.array(some)).to_batches()
+
+
+def _joining_links(batches):
+    for group in groups(batches, "task"):
+        meeting = _Meeting(group)
+        sets = [np.asarray(x.values.to_numpy()) for x in group.column("shingles")]
+        up = {c: c for c in meeting.component.tolist()}
+
+        def root(c: int) -> int:
+            while up[c] != c:  # noqa: B023
+                up[c] = up[up[c]]  # noqa: B023
+                c = up[c]  # noqa: B023
+            return c
+
+        out = []
+        for i, j, guess in meeting.pairs():
+            for k in np.argsort(-guess):
+                x, y = int(i[k]), int(j[k])
+                a, b = root(int(meeting.component[x])), root(int(meeting.component[y]))
+                if a == b:
+                    continue
+                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if DEN * common >= NUM * (len(sets[x]) + len(sets[y]) - common):
+                    up[max(a, b)] = min(a, b)
+                    out.append((meeting.node[x], meeting.node[y]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, text) -> one row for each document: doc_id, n_shingles, component_id, kept, node, group_id.
 
     ``node`` is the digest of the document's set and ``group_id`` that of its component; both are null without words.
     """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(documents.mapInArrow(_signatures, "doc_id long, n long, node long, bands array<long>, sketch array<long>"))
+    signed = stored(documents.mapInArrow(_signatures, "doc_id long, n long, node long, bits long, bands array<long>, sketch array<long>"))
     # a node is a distinct set; a null doc_id can't be looked up, so any other id of the set stands for it
     ids = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    nodes = stored(signed.join(ids.select(F.col("node").alias("of"), F.col("doc_id").alias("least")), (F.col("node") == F.col("of")) & (F.col("doc_id") == F.col("least"))).select("node", "doc_id", "n", "bands", "sketch").dropDuplicates(["node"]))
-    rank = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"))
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    leaders = banded.groupBy("bucket").agg(F.min(rank).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", F.col("lead.node").alias("a"))
-    shared = stored(banded.join(leaders, "bucket").select("bucket", "a", F.col("node").alias("b")))
+    nodes = stored(signed.join(ids.select(F.col("node").alias("of"), F.col("doc_id").alias("least")), (F.col("node") == F.col("of")) & (F.col("doc_id") == F.col("least"))).select("node", "doc_id", "n", "bits", "bands", "sketch").dropDuplicates(["node"]))
+    rank = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"), F.col("bits").alias("bits"))
+    banded = nodes.select("node", "bits", F.explode("bands").alias("bucket"))
+    leaders = banded.groupBy("bucket").agg(F.min(rank).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", F.col("lead.node").alias("a"), F.col("lead.bits").alias("a_bits"))
+    shared = stored(banded.join(stored(leaders), "bucket").select("bucket", "a", F.col("node").alias("b"), F.bit_count(F.col("a_bits").bitwiseXOR(F.col("bits"))).alias("differ")))
     brief = nodes.select("node", "n", "sketch")
     side = lambda x: brief.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
-    # two leaders a node: the one it shares most bands with, and the first of all
-    met = shared.where("a <> b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("bands"))
-    chosen = met.groupBy("b").agg(F.max(F.struct("bands", F.xxhash64("a").alias("h"), "a")).alias("most"), F.min(F.struct(F.xxhash64("a").alias("h"), "a")).alias("first"))
-    stars = chosen.select(F.explode(F.array_distinct(F.array("most.a", "first.a"))).alias("a"), "b")
+    stars = shared.where((F.col("a") != F.col("b")) & (F.col("differ") <= MOST_BITS)).select("a", "b").distinct()
     stars = stars.join(side("a"), "a").join(side("b"), "b").where(_near("a", "b")).select("a", "b")
     stars = stored(stars)
     links = stored(_confirmed(stars, nodes, documents))
     first = connected_components(links)
-    placed = shared.select("bucket", F.col("b").alias("node")).join(first, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_ = stored(placed.join(mixed, "bucket").join(brief, "node"))
-    left = open_.select("bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"), F.col("component").alias("ca"))
-    right = open_.select(F.col("bucket").alias("bucket2"), F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"), F.col("component").alias("cb"))
-    cross = left.join(right, (F.col("bucket") == F.col("bucket2")) & (F.col("ca") < F.col("cb")) & _near("a", "b")).select("a", "b").distinct()
-    cross = stored(cross.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
-    found = links.union(_confirmed(cross, nodes, documents)) if cross.limit(1).count() else links
+    found = links.union(_links_across(shared, first, nodes, documents))
     grouped = connected_components(found)
     least = ids.join(grouped, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     smallest = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
