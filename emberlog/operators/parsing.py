@@ -102,10 +102,17 @@ def _keyed(raw: Column, fields: Column) -> Column:
     return _entry(F.coalesce(_first(fields, MESSAGE_KEYS), strip(raw)), severity.level_of(_first(fields, LEVEL_KEYS)), parse_timestamp(time), fields)
 
 
+def _last_wins(pairs: Column) -> Column:
+    """A map of (key, value) pairs in which the last value of a repeated key counts, whatever the session's policy."""
+    return F.aggregate(pairs, F.create_map().cast(_NO_FIELDS), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["key"]), F.create_map(p["key"], p["value"])))
+
+
 def parse_json(raw: Column) -> Column:
     """An object's keys; anything else that is JSON is its own message; what isn't JSON is text."""
     text = strip(raw)
-    fields = F.from_json(text, _NO_FIELDS)
+    read = F.from_json(text, _NO_FIELDS)  # a repeated key is in it twice
+    keys = F.map_keys(read)
+    fields = F.when(F.size(F.array_distinct(keys)) == F.size(keys), read).otherwise(F.when(read.isNotNull(), _last_wins(F.map_entries(read))))
     other = F.try_parse_json(text).isNotNull()
     nothing = F.lit(None).cast("timestamp")
     return F.when(text.startswith("{") & fields.isNotNull(), _keyed(raw, fields)).when(other, _entry(text, F.lit(None), nothing)).otherwise(parse_text(raw))
@@ -116,10 +123,7 @@ def logfmt_fields(raw: Column) -> Column:
     quoted = lambda v: F.length(v).__ge__(2) & v.startswith('"') & v.endswith('"')
     inner = lambda v: F.replace(F.substr(v, F.lit(2), F.length(v) - 2), F.lit('\\"'), F.lit('"'))
     values = F.transform(F.regexp_extract_all(raw, F.lit(PAIR), F.lit(2)), lambda v: F.when(quoted(v), inner(v)).otherwise(v))
-    # the last value of a repeated key counts, whatever the session's policy
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    last = F.aggregate(pairs, F.create_map().cast(_NO_FIELDS), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
-    return last
+    return _last_wins(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value"))))
 
 
 def parse_logfmt(raw: Column) -> Column:
