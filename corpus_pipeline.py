@@ -21,36 +21,45 @@ from emberlog.llm import benchmark_decontamination, minhash_dedup, packing, qual
 from emberlog.llm.common import read, stored
 
 
-def _columns(docs: DataFrame):
-    return [F.col(f"`{c}`") for c in docs.columns]
+BATCH_ROWS = 1000  # of an Arrow batch: documents are long
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """The documents with names that no operator uses, but for doc_id and text."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"__c{i}") for i, c in enumerate(docs.columns)])
+
+
+def _named(result: DataFrame, docs: DataFrame) -> DataFrame:
+    """The result's columns under the documents' names."""
+    return result.select(*[F.col(c if c in ("doc_id", "text") else f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The model is trained on the labelled documents among ``docs``."""
-    model = quality_classifier.train(docs, read(spark, sf_dir, "labels"))
-    taken = docs.select(*_columns(docs), F.struct(*_columns(docs)).alias("__row"))
-    scored = quality_classifier.score_quality(taken.select("text", "__row"), model)
-    return scored.where("score >= 0.5").select("__row.*")
+    plain = _plain(docs)
+    model = quality_classifier.train(plain, read(spark, sf_dir, "labels"))
+    return _named(quality_classifier.score_quality(plain, model).where("score >= 0.5"), docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash_dedup.keep_one(docs)
+    return _named(minhash_dedup.keep_one(_plain(docs)), docs)
 
 
 def cut_copied_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring_dedup.remove_copies(docs)
-    return cut.where((F.col("n_removed") == 0) | (F.trim("text") != "")).select(*_columns(docs))
+    cut = substring_dedup.remove_copies(_plain(docs))
+    return _named(cut.where((F.col("n_removed") == 0) | (F.trim("text") != "")), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = benchmark_decontamination.benchmark_hits(docs.select("text", F.struct(*_columns(docs)).alias("__row")), read(spark, sf_dir, "benchmark"))
-    return found.where("n_hit = 0").select("__row.*")
+    found = benchmark_decontamination.benchmark_hits(_plain(docs), read(spark, sf_dir, "benchmark"))
+    return _named(found.where("n_hit = 0"), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(_plain(docs), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
