@@ -44,14 +44,19 @@ class Plan:
 
 
 def plan(entries: DataFrame, options: Options | None = None) -> Plan:
-    """Buckets cover all entries; bursts and the cascade the ``top`` clusters only."""
+    """Buckets cover all entries; bursts and the cascade the ``top`` clusters only.
+
+    Entries, their templates and the clusters are read by several of the tables, so they are cached (memory, then disk).
+    """
     o = options or Options()
     if o.infer:
         entries = parsing.infer_levels(entries)
+    entries = entries.cache()
     assigned, ranked = clusters.cluster_and_rank(entries, None if o.semantic else o.top, o.least, o.method)
     if o.semantic:
         ranked = semantic.merge_similar(ranked)
         ranked = ranked if o.top is None else ranked.where(F.col("rank") <= o.top)
+    assigned, ranked = assigned.cache(), ranked.cache()
     widths = anomaly.spans(entries, o.bucket_seconds)
     buckets = anomaly.bucketize(entries, o.bucket_seconds)
     if o.baseline is not None:
