@@ -102,6 +102,11 @@ def _keyed(raw: Column, fields: Column) -> Column:
     return _entry(F.coalesce(_first(fields, MESSAGE_KEYS), strip(raw)), severity.level_of(_first(fields, LEVEL_KEYS)), parse_timestamp(time), fields)
 
 
+def _once(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _last_wins(pairs: Column) -> Column:
     """A map of (key, value) pairs in which the last value of a repeated key counts, whatever the session's policy."""
     return F.aggregate(pairs, F.create_map().cast(_NO_FIELDS), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["key"]), F.create_map(p["key"], p["value"])))
@@ -111,11 +116,10 @@ def parse_json(raw: Column) -> Column:
     """An object's keys; anything else that is JSON is its own message; what isn't JSON is text."""
     text = strip(raw)
     read = F.from_json(text, _NO_FIELDS)  # a repeated key is in it twice
-    keys = F.map_keys(read)
-    fields = F.when(F.size(F.array_distinct(keys)) == F.size(keys), read).otherwise(F.when(read.isNotNull(), _last_wins(F.map_entries(read))))
+    fields = _once(read, lambda m: F.when(F.size(F.array_distinct(F.map_keys(m))) == F.size(m), m).when(m.isNotNull(), _last_wins(F.map_entries(m))))
     other = F.try_parse_json(text).isNotNull()
     nothing = F.lit(None).cast("timestamp")
-    return F.when(text.startswith("{") & fields.isNotNull(), _keyed(raw, fields)).when(other, _entry(text, F.lit(None), nothing)).otherwise(parse_text(raw))
+    return _once(fields, lambda f: F.when(text.startswith("{") & f.isNotNull(), _keyed(raw, f)).when(other, _entry(text, F.lit(None), nothing)).otherwise(parse_text(raw)))
 
 
 def logfmt_fields(raw: Column) -> Column:
@@ -127,7 +131,7 @@ def logfmt_fields(raw: Column) -> Column:
 
 
 def parse_logfmt(raw: Column) -> Column:
-    return F.when(raw.rlike(PAIR), _keyed(raw, logfmt_fields(raw))).otherwise(parse_text(raw))
+    return _once(logfmt_fields(raw), lambda f: F.when(F.size(f) > 0, _keyed(raw, f)).otherwise(parse_text(raw)))
 
 
 def parse_syslog(raw: Column) -> Column:
