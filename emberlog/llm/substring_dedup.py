@@ -1,9 +1,17 @@
-"""Substring deduplication by hashing units of text.
+"""Substring deduplication by hashing units and windows of text.
+
+Two kinds of passages are grouped over all documents, and the occurrence of the smallest (doc_id, text digest,
+position) of each is kept; any other is a copy.
+
+Windows are all runs of ``WINDOW`` words, wherever they begin, so a passage of that length or more is found to the word
+on either side, whatever surrounds it. Words lie between spaces (letters lowered, outer punctuation dropped); in scripts
+without spaces each character is one. Only windows that can have a twin are hashed and grouped: a window's least hash
+of ``GRAM`` words is the same wherever the window lies, so windows whose least hash is met once are left out, exactly.
+A window that repeats one it overlaps loses only what lies beyond that one.
 
 A unit is a line, cut further where a sentence ends and where a capitalised word begins, so that a passage is cut
 alike wherever it was pasted. Units are normalised (letters lowered, spaces squeezed, outer punctuation dropped) and
-hashed; the digests are grouped over all documents and the occurrence of the smallest (doc_id, text digest, position)
-is kept. Any other occurrence is a copy. Maximal runs of copies that hold ``MIN_WORDS`` words or more are removed;
+hashed. Maximal runs of copies that hold ``MIN_WORDS`` words or more are removed;
 shorter ones stay, as common phrases do. Since the first occurrence of a unit is never a copy, no unit vanishes
 altogether. Offsets are those of the original text, in code points.
 
@@ -24,13 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, stored
+from .common import mix, powers, read, stored
 
 MIN_WORDS = 20
+WINDOW = 50
+GRAM = 20
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kept_in", pa.int64())]))
 
 _BREAK = re.compile(r"\n+|(?<=[.!?])[^\S\n]+|[^\S\n]+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])")
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_WORD = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+")
+_CACHED_WORDS = 1 << 18
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _EDGE = ".,;:!?\"'()[]{}<>|*#&$%-–—…«»“”„‘’ \t\r"
 
 
@@ -51,6 +67,78 @@ def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
+class _WordHashes(dict):
+    """Hashes of words as they stand in texts, of as many as fit."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _CACHED_WORDS:
+            self.clear()
+        plain = word.lower()
+        self[word] = out = _digest(plain.strip(_EDGE) or plain)
+        return out
+
+
+def _words(text: str, known: _WordHashes) -> np.ndarray:
+    found = _WORD.findall(text) if _HAS_UNSPACED.search(text) else text.split()
+    return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+
+
+def _runs(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n words."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(len(words), _BASE), dtype=np.uint64)])
+    return mix((sums[n:] - sums[:-n]) * powers(len(words) - n + 1, _INVERSE))
+
+
+def _least_of(grams: np.ndarray) -> np.ndarray:
+    """The least hash of GRAM words in each window."""
+    n, width = WINDOW - GRAM + 1, 1
+    while width < n:
+        step = min(width, n - width)
+        grams = np.minimum(grams[:-step], grams[step:])
+        width += step
+    return grams
+
+
+def _least_rows(batches):
+    """The distinct least hashes of each text; one that stands twice in a text is given twice."""
+    known = _WordHashes()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            rows = batch.slice(at, 256)
+            keys, found = [], []
+            for text in rows.column(1).to_pylist():
+                keys.append(_digest(text or ""))
+                grams = _runs(_words(text or "", known), GRAM)
+                if len(grams) < WINDOW - GRAM + 1:
+                    found.append(np.zeros(0, np.uint64))
+                    continue
+                every, n = np.unique(grams, return_counts=True)
+                least = np.unique(_least_of(grams))
+                found.append(np.repeat(least, 1 + (n[np.searchsorted(every, least)] > 1)))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), lists], ["doc_id", "text_key", "least"])
+
+
+def _window_rows(batches):
+    """One row for each text: the hashes of its windows whose least hash is among ``met``, and where they begin."""
+    known = _WordHashes()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            rows = batch.slice(at, 64)
+            starts, hashes = [], []
+            for text, met in zip(rows.column(2).to_pylist(), rows.column(3), strict=True):
+                words = _words(text, known)
+                here = np.flatnonzero(np.isin(_least_of(_runs(words, GRAM)), met.values.to_numpy(zero_copy_only=False).view(np.uint64)))
+                starts.append(here.astype(np.int32))
+                hashes.append(_runs(words, WINDOW)[here])
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in starts])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (np.concatenate(starts), np.concatenate(hashes).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *lists], ["doc_id", "text_key", "starts", "hashes"])
+
+
 def _unit_rows(batches):
     """One row for each text, its units in arrays: small enough to be exploded in the JVM."""
     for batch in batches:
@@ -67,12 +155,10 @@ def _unit_rows(batches):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), lists], ["doc_id", "text_key", "digests"])
 
 
-def _cut(text: str | None, copies: set[int], least: int) -> tuple[str | None, list[tuple[int, int, int]]]:
-    """The text without runs of copied units, and the removed (start, end, first unit) spans."""
-    if not text or not copies:
-        return text, []
+def _unit_spans(text: str, copies: dict[int, int], least: int) -> list[tuple[int, int, int]]:
+    """(start, end, kept_in) of the runs of copied units."""
     found = units(text)
-    spans, kept, last, k = [], [], 0, 0
+    spans, k = [], 0
     while k < len(found):
         if k not in copies:
             k += 1
@@ -82,13 +168,40 @@ def _cut(text: str | None, copies: set[int], least: int) -> tuple[str | None, li
             words += found[stop][2].count(" ") + 1 if found[stop][2] else 0
             stop += 1
         if words >= least:
-            a, b = found[k][0], found[stop - 1][1]
-            spans.append((a, b, k))
-            kept.append(text[last:a])
-            last = b
+            spans.append((found[k][0], found[stop - 1][1], copies[k]))
         k = stop
+    return spans
+
+
+def _window_spans(text: str, copies: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, kept_in) of the words in copied windows (start, kept_in, first word that may go)."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    spans = []
+    for first, stop, kept_in in sorted(((max(first, free), first + WINDOW, k) for first, k, free in copies), key=lambda x: x[:2]):
+        if spans and first <= spans[-1][1]:
+            spans[-1][1] = max(stop, spans[-1][1])
+        else:
+            spans.append([first, stop, kept_in])
+    return [(at[a][0], at[b - 1][1], k) for a, b, k in spans]
+
+
+def _cut(text: str | None, copied: dict[int, int], windows: list[tuple[int, int, int]], least: int) -> tuple[str | None, list[tuple[int, int, int]]]:
+    """The text without copies, and the removed (start, end, kept_in) spans; such as overlap or touch are one."""
+    if not text or not (copied or windows):
+        return text, []
+    found = (_unit_spans(text, copied, least) if copied else []) + (_window_spans(text, windows) if windows else [])
+    spans = []
+    for a, b, k in sorted(found, key=lambda x: x[:2]):
+        if spans and (a <= spans[-1][1] or text[spans[-1][1] : a].isspace()):
+            spans[-1] = (spans[-1][0], max(b, spans[-1][1]), spans[-1][2])
+        else:
+            spans.append((a, b, k))
     if not spans:
         return text, []
+    kept, last = [], 0
+    for a, b, _ in spans:
+        kept.append(text[last:a])
+        last = b
     rest = text[last:]
     joined = ""
     for part in [*kept, rest]:  # one space or line end of those on either side of a gap is enough
@@ -96,14 +209,33 @@ def _cut(text: str | None, copies: set[int], least: int) -> tuple[str | None, li
     return (joined if rest.strip() else joined.rstrip()), spans
 
 
+def _copies(every: DataFrame) -> DataFrame:
+    """The rows (digest, doc_id, text_key, at) whose digest an earlier one holds, with that one as ``first``."""
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "at")
+    first = every.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    return every.join(first, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("at") == F.col("first.at"))))
+
+
 def copied_units(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_key, copies array<struct<unit int, from_doc long>>): of each document, the units that an earlier one holds."""
+    """(doc_id, text_key, at, from_doc): the units of each document that an earlier one holds."""
     hashed = stored(documents.select("doc_id", "text").mapInArrow(_unit_rows, "doc_id long, text_key long, digests array<long>"))
-    every = hashed.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.posexplode("digests").alias("unit", "digest"))
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "unit")
-    first = every.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    copies = every.join(first, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("unit") == F.col("first.unit"))))
-    return copies.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("unit", F.col("first.doc_id").alias("from_doc"))).alias("copies"))
+    every = hashed.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.posexplode("digests").alias("at", "digest"))
+    return _copies(every).select("doc_id", "text_key", "at", F.col("first.doc_id").alias("from_doc"))
+
+
+def copied_windows(documents: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(doc_id, text_key, at, from_doc, free): the windows of each document that an earlier place holds, and the first
+    word that may go. ``keyed`` are the documents' doc_id, text_key and text."""
+    hashed = stored(documents.select("doc_id", "text").mapInArrow(_least_rows, "doc_id long, text_key long, least array<long>"))
+    least = hashed.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.explode("least").alias("least"))
+    again = least.groupBy("least").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("least")
+    met = least.join(again, "least").groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__of")).agg(F.collect_set("least").alias("met"))
+    both = keyed.join(met, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_key") == F.col("__of"))).select("doc_id", "text_key", "text", "met")
+    found = stored(both.mapInArrow(_window_rows, "doc_id long, text_key long, starts array<int>, hashes array<long>"))
+    every = found.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.explode(F.arrays_zip("starts", "hashes")).alias("w"))
+    every = every.select("doc_id", "text_key", F.col("w.starts").alias("at"), F.col("w.hashes").alias("digest"))
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    return _copies(every).select("doc_id", "text_key", "at", F.col("first.doc_id").alias("from_doc"), F.when(own, F.col("first.at") + WINDOW).otherwise(0).alias("free"))
 
 
 def remove_copies(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame:
@@ -111,7 +243,6 @@ def remove_copies(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     of what went, and the document that keeps the first unit of it."""
     names = [c for c in documents.columns if c not in ("n_removed", "removed")]
     documents = documents.select(*[F.col(f"`{c}`") for c in names])
-    right = copied_units(documents).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__of"), F.col("copies").alias("__copies"))
     text = names.index("text")
 
     def key(batches):
@@ -125,14 +256,18 @@ def remove_copies(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                 rows = batch.slice(at, 256)
                 texts, removed = [], []
                 for t, c in zip(rows.column(text).to_pylist(), rows.column(len(names)).to_pylist(), strict=True):
-                    held = {x["unit"]: x["from_doc"] for x in c or ()}
-                    new, spans = _cut(t, set(held), least)
+                    held = {x["at"]: x["from_doc"] for x in c or () if x["free"] is None}
+                    windows = [(x["at"], x["from_doc"], x["free"]) for x in c or () if x["free"] is not None]
+                    new, spans = _cut(t, held, windows, least)
                     texts.append(new)
-                    removed.append([{"start": a, "end": b, "kept_in": held[k]} for a, b, k in spans])
+                    removed.append([{"start": a, "end": b, "kept_in": k} for a, b, k in spans])
                 columns = [pa.array(texts, pa.string()) if i == text else rows.column(i) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in removed], pa.int32()), pa.array(removed, _SPANS)], [*names, "n_removed", "removed"])
 
     keyed = documents.mapInArrow(key, T.StructType([*documents.schema.fields, T.StructField("__key", T.LongType())]))
+    windows = copied_windows(documents, keyed.select("doc_id", F.col("__key").alias("text_key"), "text"))
+    copies = copied_units(documents).withColumn("free", F.lit(None).cast("int")).unionByName(windows)
+    right = copies.groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__of")).agg(F.collect_list(F.struct("at", "from_doc", "free")).alias("__copies"))
     both = keyed.join(right, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__of")), "left").select(*[F.col(f"`{c}`") for c in names], "__copies")
     span = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end", "kept_in")])
     return both.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("n_removed", T.IntegerType()), T.StructField("removed", T.ArrayType(span))]))

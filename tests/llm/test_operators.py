@@ -110,6 +110,46 @@ def test_substring(spark):
     assert set(by[3].asDict()) == {"doc_id", "text", "score", "node", "kept", "n_removed", "removed"}
 
 
+def brute_windows(rows, n=50):
+    """Of each document, its words (as they stand) in runs of n that an earlier place holds."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        w, covered = t.split(), set()
+        for k in range(len(w) - n + 1):
+            if (run := tuple(w[k : k + n])) in seen:
+                covered |= set(range(k, k + n))
+            seen.add(run)
+        out[i] = covered
+    return out
+
+
+def test_substring_windows(spark):
+    rng = random.Random(8)
+
+    def own(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    passage, long, short = own(60), own(160), own(49)
+    edited = [*long[:80], "other", *long[81:]]
+    arabic = [chr(0x628 + rng.randrange(20)) + chr(0x628 + rng.randrange(20)) for _ in range(70)]
+    plan = {
+        1: [*own(30), *passage, *own(20)], 2: long, 3: [*own(7), *arabic, *own(5)], 4: [*own(10), *short, *own(10)],
+        11: [*own(13), *passage, *own(40)], 12: [*own(5), *edited, *own(5)], 13: [*own(4), *arabic, *own(3)], 14: [*own(3), *short, *own(6)],
+    }
+    rows = [(i, " ".join(w)) for i, w in plan.items()]
+    want = brute_windows(rows)
+    han = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(80))
+    rows += [(21, "甲乙丙丁" + han + "戊己"), (22, "子丑" + han + "寅卯辰"), (31, "spam " * 200), (None, " ".join([*own(9), *passage]))]
+    got = {r.doc_id: r for r in substring_dedup.remove_copies(docs(spark, rows)).collect()}
+    assert [len(want[i]) for i in (11, 12, 13, 14)] == [60, 159, 70, 0]
+    for i, w in plan.items():
+        assert got[i].text.split() == [x for k, x in enumerate(w) if k not in want[i]]
+    assert [(x.kept_in, plan[12][0:5] == rows[5][1][: x.start].split()) for x in got[12].removed][0] == (2, True) and len(got[12].removed) == 2
+    assert got[21].text == rows[8][1] and got[22].text == "子丑寅卯辰"
+    assert got[31].text.split() == ["spam"] * 50  # the first window stays
+    assert len(got[None].text.split()) == 9
+
+
 def word_list(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(UPPER))
 
