@@ -12,7 +12,9 @@ A window that repeats one it overlaps loses only what lies beyond that one.
 A unit is a line, cut further where a sentence ends and where a capitalised word begins, so that a passage is cut
 alike wherever it was pasted. Units are normalised (letters lowered, spaces squeezed, outer punctuation dropped) and
 hashed. Maximal runs of copies that hold ``MIN_WORDS`` words or more are removed;
-shorter ones stay, as common phrases do. Since the first occurrence of a unit is never a copy, no unit vanishes
+shorter ones stay, as common phrases do. Whole lines, and paragraphs of several, are hashed as well, apart from units:
+a copied one of ``BLOCK_WORDS`` words or more goes, whatever stands around it (of ``ALONE_WORDS``, where the line is the
+whole text). Since the first occurrence of a unit is never a copy, no unit vanishes
 altogether. Offsets are those of the original text, in code points.
 
 Defined cases: null text stays null, with no units; an empty text stays empty. Rows that repeat a doc_id are ranked by
@@ -35,6 +37,8 @@ from pyspark.sql import types as T
 from .common import mix, powers, read, stored
 
 MIN_WORDS = 20
+BLOCK_WORDS = 4
+ALONE_WORDS = 6
 WINDOW = 50
 GRAM = 20
 
@@ -47,14 +51,15 @@ _WORD = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+")
 _CACHED_WORDS = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_LINE, _PARAGRAPH = re.compile(r"\n+"), re.compile(r"\n[^\S\n]*\n\s*")
 _EDGE = ".,;:!?\"'()[]{}<>|*#&$%-–—…«»“”„‘’ \t\r"
 
 
-def units(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, normalised) of the text's units, in order; between them lie only spaces and line ends."""
+def _between(breaks: re.Pattern, text: str) -> list[tuple[int, int, str]]:
+    """(start, end, normalised) of what lies between the breaks, in order."""
     out = []
     start = 0
-    for cut in _BREAK.finditer(text):
+    for cut in breaks.finditer(text):
         if cut.start() > start:
             out.append((start, cut.start()))
         start = cut.end()
@@ -63,6 +68,22 @@ def units(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, " ".join(text[a:b].lower().split()).strip(_EDGE)) for a, b in out]
 
 
+def units(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, normalised) of the text's units, in order; between them lie only spaces and line ends."""
+    return _between(_BREAK, text)
+
+
+def blocks(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, normalised) of the lines that have the words, then of the paragraphs of several lines. The normalised
+    texts begin with line ends, which no unit's does."""
+    lines = _between(_LINE, text)
+    least = BLOCK_WORDS if len(lines) > 1 else ALONE_WORDS
+    out = [(a, b, "\n" + x) for a, b, x in lines if len(_WORD.findall(x)) >= least]
+    if len(lines) > 1:
+        out += [(a, b, "\n\n" + x) for a, b, x in _between(_PARAGRAPH, text) if "\n" in text[a:b].strip() and len(_WORD.findall(x)) >= least]
+    return out
+
+
 def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
@@ -140,13 +161,13 @@ def _window_rows(batches):
 
 
 def _unit_rows(batches):
-    """One row for each text, its units in arrays: small enough to be exploded in the JVM."""
+    """One row for each text, its units and then its blocks in arrays: small enough to be exploded in the JVM."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             rows = batch.slice(at, 256)
             keys, digests, counts = [], [], []
             for text in rows.column(1).to_pylist():
-                found = units(text or "")
+                found = units(text or "") + blocks(text or "")
                 keys.append(_digest(text or ""))
                 digests += [_digest(x) for _, _, x in found]
                 counts.append(len(found))
@@ -156,9 +177,11 @@ def _unit_rows(batches):
 
 
 def _unit_spans(text: str, copies: dict[int, int], least: int) -> list[tuple[int, int, int]]:
-    """(start, end, kept_in) of the runs of copied units."""
+    """(start, end, kept_in) of the runs of copied units, and of copied blocks."""
     found = units(text)
     spans, k = [], 0
+    if max(copies) >= len(found):
+        spans = [(a, b, copies[i]) for i, (a, b, _) in enumerate(blocks(text), len(found)) if i in copies]
     while k < len(found):
         if k not in copies:
             k += 1
@@ -217,7 +240,7 @@ def _copies(every: DataFrame) -> DataFrame:
 
 
 def copied_units(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_key, at, from_doc): the units of each document that an earlier one holds."""
+    """(doc_id, text_key, at, from_doc): the units and blocks of each document that an earlier one holds."""
     hashed = stored(documents.select("doc_id", "text").mapInArrow(_unit_rows, "doc_id long, text_key long, digests array<long>"))
     every = hashed.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.posexplode("digests").alias("at", "digest"))
     return _copies(every).select("doc_id", "text_key", "at", F.col("first.doc_id").alias("from_doc"))

@@ -110,6 +110,15 @@ def test_substring(spark):
     assert set(by[3].asDict()) == {"doc_id", "text", "score", "node", "kept", "n_removed", "removed"}
 
 
+def test_substring_lines(spark):
+    hot = "the and attion to thanedble, anea. Eriner thanea."
+    rows = [(1, f"own first line here\n{hot}\nmore own words of one"), (2, f"{hot}\nsecond document says something\nno it"), (3, f"third one starts\n{hot.upper()}\nno it\nand ends so"), (4, f"inside a line {hot} it stays"),
+            (5, "a b\nc d\n\nlone words of five"), (6, "six begins\n\na b\nc d\n\nx y z"), (7, "seven has a line\na b\nhere")]
+    got = {r.doc_id: r.text for r in substring_dedup.remove_copies(docs(spark, rows)).collect()}
+    want = dict(rows) | {2: "second document says something\nno it", 3: "third one starts\nno it\nand ends so", 6: "six begins\n\nx y z"}
+    assert {i: re.sub(r"\n+", "\n", t).strip() for i, t in got.items()} == {i: re.sub(r"\n+", "\n", t).strip() for i, t in want.items()}
+
+
 def brute_windows(rows, n=50):
     """Of each document, its words (as they stand) in runs of n that an earlier place holds."""
     seen, out = set(), {}
