@@ -458,13 +458,13 @@ def _scores(spark, sf_dir):
     JOIN nor x ON x.source = a.source AND x.rank = a.rank JOIN nor y ON y.source = b.source AND y.rank = b.rank GROUP BY a.source, a.rank, b.rank""",
 )
 def _cosine(spark, sf_dir):
-    pairs = semantic.similar_pairs(semantic.tfidf(_clusters(spark, sf_dir, TOP)[1]), -1.0)
+    pairs = semantic.similar_pairs(semantic.tfidf(_clusters(spark, sf_dir)[1]), -1.0)
     return pairs.select("source", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), *_six("cosine"))
 
 
 @_query("semantic_merge")
 def _merge(spark, sf_dir):
-    return semantic.merge_similar(_clusters(spark, sf_dir, TOP)[1]).select("source", "template", "level", "count", "rank")
+    return semantic.merge_similar(_clusters(spark, sf_dir)[1]).select("source", "template", "level", "count", "rank")
 
 
 @_query("drain_templates")
@@ -490,7 +490,7 @@ DIGEST = """'[' || CASE level WHEN 50 THEN 'CRITICAL' WHEN 40 THEN 'ERROR' ELSE
     SELECT source, rank, digest, CAST(tokens AS INTEGER) AS tokens, batch FROM pac""",
 )
 def _pack(spark, sf_dir):
-    return digests.pack(digests.build_digests(_clusters(spark, sf_dir, TOP)[1]), 200).select("source", F.col("rank").cast("long").alias("rank"), "digest", "tokens", "batch")
+    return digests.pack(digests.build_digests(_clusters(spark, sf_dir)[1]), 200).select("source", F.col("rank").cast("long").alias("rank"), "digest", "tokens", "batch")
 
 
 @_query("stream_novelty", f"{BASE}, tem AS (SELECT source, line_no, level, {normalize_sql('message')} AS template FROM ent WHERE level >= 40) SELECT source, line_no, level, template, row_number() OVER (PARTITION BY source, template ORDER BY line_no) = 1 AS is_new FROM tem")

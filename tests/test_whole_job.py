@@ -1,5 +1,7 @@
 """Queries work on all of their input, not on a part chosen beforehand."""
 
+import pytest
+
 from emberlog.operators import parsing
 from emberlog.plans import catalogue
 
@@ -11,3 +13,10 @@ def test_detect_format_reads_every_line(spark, monkeypatch):
     monkeypatch.setattr(parsing, "detect_formats", lambda lines: given.append(lines) or detect(lines))
     assert catalogue.QUERIES["detect_format"](spark, SF).count() == 6
     assert given[0].count() == 6 * catalogue.entries(spark, SF).count() > 6 * 40
+
+
+@pytest.mark.parametrize("name", ["tfidf_cosine", "semantic_merge", "token_budget_pack"])
+def test_all_signatures_are_compared(spark, monkeypatch, name):
+    clusters, tops = catalogue._clusters, []
+    monkeypatch.setattr(catalogue, "_clusters", lambda spark, sf_dir, top=None: tops.append(top) or clusters(spark, sf_dir, top))
+    assert catalogue.QUERIES[name](spark, SF).columns and tops == [None]
