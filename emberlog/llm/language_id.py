@@ -24,9 +24,9 @@ from .common import crc_mod, mix, read, slices
 GRAM = 4  # bytes of an n-gram; a space stands for everything between words
 SLOT_BITS = 20
 HASHES = 2
-TRAIN_ROWS = 12_000  # most rows, about, that the filters are learned from
+LANGUAGE_ROWS = 3_000  # most rows of each language, about, that the filters are learned from
 SHARE = 0.3  # an n-gram enters a language's filter at this share of its highest frequency in any language
-LEAST = 3  # texts of the sample that must hold an n-gram
+LEAST = 3  # texts of a language's sample that must hold an n-gram; all, where it has fewer
 UNDETERMINED = "und"
 
 _fold = np.full(256, 32, np.uint8)
@@ -108,16 +108,19 @@ class Filters:
         return [self.languages[b] if x else UNDETERMINED for b, x in zip(best, letters, strict=True)], np.clip(score, 0, 1)
 
 
-def learn_filters(labelled: DataFrame, most: int = TRAIN_ROWS) -> Filters:
-    """Learn from (doc_id, text, lang) rows: about ``most`` of them, those of the smallest id hashes, whatever the table's size.
+def learn_filters(labelled: DataFrame, most: int = LANGUAGE_ROWS) -> Filters:
+    """Learn from (doc_id, text, lang) rows: about ``most`` of each language, those of the smallest id hashes, whatever
+    the table's size; of a language that has no more, all.
 
     The n-grams of whole texts are counted on the executors; the driver gets, for each language, the n-grams that at
     least ``LEAST`` of these texts hold.
     """
     known = labelled.where("lang is not null and text is not null")
-    n = known.count()
-    share = min(1.0, most / n) if n else 1.0
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select("lang", "text")
+    wide = 1 << 30
+    share = F.lit(0).cast("long")
+    for r in known.groupBy("lang").count().collect():
+        share = F.when(F.col("lang") == r["lang"], math.ceil(min(1.0, most / r["count"]) * wide)).otherwise(share)
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(wide)) < share).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -131,7 +134,10 @@ def learn_filters(labelled: DataFrame, most: int = TRAIN_ROWS) -> Filters:
 
     texts = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
     counted = sample.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    kept = counted.where(F.col("n") >= min([LEAST, *texts.values()])).toPandas().sort_values("code")
+    few = F.lit(LEAST)
+    for lang, n in texts.items():
+        few = F.when(F.col("lang") == lang, min(LEAST, n)).otherwise(few)
+    kept = counted.where(F.col("n") >= few).toPandas().sort_values("code")
     return Filters.build(texts, {x: (g["code"].to_numpy().astype(np.uint32), g["n"].to_numpy(float)) for x, g in kept.groupby("lang")})
 
 

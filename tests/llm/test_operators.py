@@ -304,6 +304,13 @@ def test_languages(spark):
     assert [judged[i].lang_pred for i in (1, 2, 3, 4)] == ["und", "und", "xx", "und"]
 
 
+def test_rare_language(spark):
+    rows = [(i, "alpha beta gamma delta", "aa") for i in range(3000)] + [(5000, "zuzu kiki momo", "zz")]
+    filters = language_id.learn_filters(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 50)
+    assert filters.languages == ["aa", "zz"]
+    assert [r.lang_pred for r in language_id.identify_language(docs(spark, [(1, "zuzu momo")]), filters).collect()] == ["zz"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
