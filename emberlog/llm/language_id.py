@@ -87,6 +87,10 @@ class Filters:
         letters = np.zeros(n, bool)
         has = np.flatnonzero(_fold[data] != 32)
         letters[np.searchsorted(offsets, has, "right") - 1] = True
+        ascii_letter = np.zeros(n, bool)
+        ascii_letter[np.searchsorted(offsets, has[data[has] < 128], "right") - 1] = True
+        for i in np.flatnonzero(letters & ~ascii_letter):  # signs have such bytes too
+            letters[i] = any(map(str.isalpha, data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")))
         if not self.languages:
             return [UNDETERMINED] * n, np.zeros(n)
         codes, rows = gram_codes(data, offsets)

@@ -311,6 +311,13 @@ def test_rare_language(spark):
     assert [r.lang_pred for r in language_id.identify_language(docs(spark, [(1, "zuzu momo")]), filters).collect()] == ["zz"]
 
 
+def test_signs_are_no_letters(spark):
+    filters = language_id.learn_filters(spark.createDataFrame([(1, "ab cd ef", "xx")], "doc_id long, text string, lang string"))
+    texts = ["— “12” …", "👍 100 %", "日本", "é", "“ab”", ""]
+    got = {r.doc_id: r for r in language_id.identify_language(docs(spark, list(enumerate(texts))), filters).collect()}
+    assert [got[i].lang_pred for i in range(6)] == ["und", "und", "xx", "xx", "xx", "und"] and got[0].score == got[1].score == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
