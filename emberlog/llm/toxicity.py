@@ -7,9 +7,9 @@ phrases; a word counts by its heaviest entry, not inside an exception phrase, an
 less than the one before. The weight per 100 words and the total are turned into a score by a logistic regression,
 fitted on what the lexicon of either half of the sample finds in the other half.
 
-Defined cases: a null or empty text has no hits, so it has the score of a text without hits. A few built-in
-words are entries unless the labels call them harmless; without labels of both kinds they are all there is. Repeated rows are scored alike, each by itself; long
-texts are read in whole; other columns are ignored.
+Defined cases: a null or empty text has no hits, so it has the score of a text without hits. Without labels of both
+kinds a short general list of words stands in; with labels, no entry comes from anywhere else. Repeated rows are scored
+alike, each by itself; long texts are read in whole; doc_id is read as a long; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import read, stored
+from .common import read, slices, stored
 
 TRAIN_ROWS = {0: 6000, 1: 4000}
 BEGINNINGS = (4, 5, 6, 7)  # letters of word beginnings that may become entries
@@ -42,11 +42,11 @@ LOOK_ALIKES = {
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ℓ": "l", "ß": "ss", "æ": "ae", "œ": "oe",
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
 }
-#: Words that are entries unless the labels say otherwise.
-BUILT_IN_WEIGHT = 4.0
-BUILT_IN = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "clown")
-#: Phrases in which an entry means no harm.
-EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "trash collection", "clown fish", "circus clown", "pond scum", "soap scum", "gracious loser")
+#: A general list for use without any labels; a trained lexicon holds only what its labels say.
+FALLBACK_WEIGHT = 4.0
+FALLBACK = ("arsehole", "asshole", "bastard", "bitch", "cretin", "dickhead", "dumbass", "fuckwit", "halfwit", "imbecile", "jackass", "scumbag", "shithead", "subhuman", "tosser", "twat", "vermin", "wanker")
+#: Phrases in which an entry means no harm; a caller may give others.
+EXCEPTIONS = ("bastard file", "bastard sword", "bastard title", "vermin control", "vermin proof")
 
 
 class _Fold(dict):
@@ -136,8 +136,8 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.coefficients, -40, 40)))
 
 
-def built_in() -> Lexicon:
-    return Lexicon({f" {w} ": BUILT_IN_WEIGHT for w in BUILT_IN})
+def fallback() -> Lexicon:
+    return Lexicon({f" {w} ": FALLBACK_WEIGHT for w in FALLBACK})
 
 
 def _entries(folded: str) -> set[str]:
@@ -186,10 +186,11 @@ def _count(batches):
 
     seen: dict[tuple[int, int], Counter] = {}
     for batch in batches:
-        for text, label, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            seen.setdefault((half, label), Counter()).update(_entries(fold(text)))
-        if sum(map(len, seen.values())) > 500_000:
-            yield from out()
+        for rows, _, _ in slices(batch):
+            for text, label, half in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                seen.setdefault((half, label), Counter()).update(_entries(fold(text)))
+            if sum(map(len, seen.values())) > 500_000:
+                yield from out()
     yield from out()
 
 
@@ -198,15 +199,9 @@ def _chosen(counted: DataFrame, sizes: dict[int, int]) -> Lexicon:
     weight = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
     weight = weight - DOUBT * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     least = min(max(LEAST_TEXTS, LEAST_SHARE * sizes[1]), sizes[1])
-    own = [f" {w} " for w in BUILT_IN]
-    likely = counted.withColumn("weight", weight).where(((F.col("toxic") >= least) & (F.col("weight") >= LEAST_WEIGHT)) | F.col("entry").isin(*own))
-    rows = likely.orderBy(F.desc("toxic"), F.desc("weight"), "entry").limit(MOST_ENTRIES + len(own)).collect()
-    weights = dict.fromkeys(own, BUILT_IN_WEIGHT)
-    for r in rows:
-        if r["weight"] >= LEAST_WEIGHT and r["toxic"] >= least:
-            weights[r["entry"]] = float(r["weight"])
-        elif r["toxic"] + r["clean"] >= LEAST_TEXTS and r["weight"] < LEAST_WEIGHT:  # a built-in word that the labels call harmless
-            weights.pop(r["entry"], None)
+    likely = counted.withColumn("weight", weight).where((F.col("toxic") >= least) & (F.col("weight") >= LEAST_WEIGHT))
+    rows = likely.orderBy(F.desc("toxic"), F.desc("weight"), "entry").limit(MOST_ENTRIES).collect()
+    weights = {r["entry"]: float(r["weight"]) for r in rows}
     return Lexicon(weights)
 
 
@@ -221,7 +216,7 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "toxic") -> Lex
         by_half[r["half"]][r["label"]] = r["count"]
     whole = {x: sum(h.get(x, 0) for h in by_half.values()) for x in (0, 1)}
     if not all(whole.values()):
-        return built_in()
+        return fallback()
     counted = stored(sample.mapInArrow(_count, "entry string, half int, toxic long, clean long").groupBy("entry", "half").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     lexicon = _chosen(counted.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), whole)
     if not all(len(h) == 2 for h in by_half.values()):
@@ -245,11 +240,10 @@ def score_toxicity(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
+            for rows, _, _ in slices(batch):
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(shared.value.score(rows.column(1).to_pylist()))], ["doc_id", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def query(spark, sf_dir):

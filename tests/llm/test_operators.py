@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
 from emberlog.llm import benchmark_decontamination, chat_format, embedding_dedup, language_id, minhash_dedup, packing, quality_classifier, substring_dedup, token_ids, toxicity, url_filter
 
@@ -58,7 +59,7 @@ def near_fixture():
             copy[rng.randrange(len(copy))] = rng.choice(words)
         rows.append((10 + i, " ".join(copy)))
     rows += [(100 + i, " ".join(rng.choice(words) for _ in range(40))) for i in range(20)]
-    return [*rows, (200, rows[10][1]), (201, " ".join(base * 200)), (None, "x y z a b c")]
+    return [*rows, (200, rows[10][1]), (201, " ".join(base * 200)), (None, "x y z a b c"), (None, " ".join(["zz", *base[1:]]))]
 
 
 def test_minhash(spark):
@@ -119,20 +120,23 @@ def test_substring_lines(spark):
     assert {i: re.sub(r"\n+", "\n", t).strip() for i, t in got.items()} == {i: re.sub(r"\n+", "\n", t).strip() for i, t in want.items()}
 
 
-def brute_windows(rows, n=50):
-    """Of each document, its words (as they stand) in runs of n that an earlier place holds."""
-    seen, out = set(), {}
+def brute_windows(rows, n=50, own_overlap=False):
+    """Of each document, its words (as they stand) in runs of n that an earlier place holds; what a run shares with one it
+    overlaps stays where ``own_overlap``."""
+    seen, out = {}, {}
     for i, t in sorted(rows):
         w, covered = t.split(), set()
         for k in range(len(w) - n + 1):
-            if (run := tuple(w[k : k + n])) in seen:
-                covered |= set(range(k, k + n))
-            seen.add(run)
+            doc, at = seen.setdefault(tuple(w[k : k + n]), (i, k))
+            if (doc, at) != (i, k):
+                covered |= set(range(max(k, at + n) if own_overlap and doc == i else k, k + n))
         out[i] = covered
     return out
 
 
-def test_substring_windows(spark):
+@pytest.mark.parametrize("hot", [4096, 1])  # 1: every anchor goes the way of hot ones
+def test_substring_windows(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     rng = random.Random(8)
 
     def own(n):
@@ -159,6 +163,20 @@ def test_substring_windows(spark):
     assert len(got[None].text.split()) == 9
 
 
+def test_substring_brute_force(spark, monkeypatch):
+    """Every word of a run of 50 that an earlier place holds goes, and no other, on texts made of shared pieces."""
+    monkeypatch.setattr(substring_dedup, "HOT", 6)
+    rng = random.Random(3)
+    pieces = [[f"p{k}w{rng.randrange(4)}" for _ in range(rng.choice([20, 35, 51, 90, 130]))] for k in range(6)]
+    rows = [(i, " ".join(x for _ in range(rng.randrange(1, 5)) for x in [*rng.choice(pieces), *(f"o{rng.randrange(10**9)}" for _ in range(rng.randrange(3)))])) for i in range(60)]
+    rows += [(100 + i, "la " * n) for i, n in enumerate((10, 49, 50, 51, 300))] + [(110, rows[5][1]), (5, rows[5][1]), (120, None), (121, "")]
+    got = {r.doc_id: r.text for r in substring_dedup.remove_copies(docs(spark, rows), least=10**6).collect()}
+    want = brute_windows([(i, t or "") for i, t in dict(rows).items()], own_overlap=True)
+    whole = {i for i, t in rows if len((t or "").split()) >= substring_dedup.ALONE_WORDS and t in [u for j, u in rows if j < i]}  # lines that are copies
+    for i, t in rows:
+        assert (got[i] or "").split() == ([] if i in whole else [x for k, x in enumerate((t or "").split()) if k not in want[i]]), i
+
+
 def word_list(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(UPPER))
 
@@ -259,7 +277,7 @@ def test_urls(spark):
         fits = [(h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         rule = max(fits, key=lambda x: len(x[0]), default=(None, None))
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule[0])
-        assert got[i].verdict == (rule[1] or ("block" if got[i].score >= 0.5 else "allow"))
+        assert got[i].verdict == (rule[1] or ("block" if got[i].score >= url_filter.THRESHOLD else "allow"))
     assert got[9].verdict == "block" and got[10].verdict == "allow" and got[5].verdict == "allow"
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
@@ -286,8 +304,8 @@ def test_quality(spark):
 def test_toxicity(spark):
     share, n = accuracy(spark, toxicity.query, "toxic")
     assert share >= 0.9 and n == 1000
-    lexicon = toxicity.built_in()
-    low, high, masked, spared = lexicon.score([None, "you idiot moron scum", "you 1d10t m0rоn sсum", "the trash can and the clown fish"])
+    lexicon = toxicity.fallback()
+    low, high, masked, spared = lexicon.score([None, "you cretin bastard twat", "you cr3tin ba5tаrd tw4t", "the bastard file and vermin control"])
     assert high == masked > low and spared == low == lexicon.score([""])[0]
     empty = toxicity.train(docs(spark, []), spark.createDataFrame([], "doc_id long, toxic int"))
     assert empty.weights == lexicon.weights
