@@ -7,6 +7,7 @@ never holds more than ``SLICE_BYTES`` unless one document alone is longer.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,11 +23,12 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where that setting is missing."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs on this machine alone."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_emberlog_scratch", None)
     if not root:
-        root = getattr(spark, "_emberlog_scratch", None) or "file://" + tempfile.mkdtemp(prefix="emberlog-")
-        spark._emberlog_scratch = root
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark._emberlog_scratch = "file://" + tempfile.mkdtemp(prefix="emberlog-")
     return root.rstrip("/")
 
 
@@ -63,6 +65,11 @@ def release(df: DataFrame) -> None:
         _scratch[:] = [x for x in _scratch if x[1] != path]
 
 
+def swept(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries now; it does so when the driver's JVM collects garbage."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of an id's decimal text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
