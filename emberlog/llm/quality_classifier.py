@@ -12,13 +12,13 @@ texts of any length are read in whole, a slice at a time; other columns are igno
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import labelled
 from .common import read, slices, word_hashes, words_of
@@ -161,17 +161,16 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "quality") -> A
 
 
 def score_quality(documents: DataFrame, model: Attention | Constant) -> DataFrame:
-    """The documents' columns and score double; a column of that name is replaced."""
+    """The documents' columns and score double; a column of that name is replaced. Only texts go to Python and scores come back."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
-    names = [c for c in documents.columns if c != "score"]
-    documents = documents.select(*[F.col(f"`{c}`") for c in names])
 
-    def run(batches):
-        for batch in batches:
-            for rows, data, offsets in slices(batch):
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(shared.value.score(*passages(data, offsets)))], [*names, "score"])
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            found = [shared.value.score(*passages(data, offsets)) for _, data, offsets in slices(pa.record_batch([texts], ["text"]))]
+            yield pa.array(np.concatenate([np.zeros(0), *found]))
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("score", T.DoubleType())]))
+    names = [F.col(f"`{c}`") for c in documents.columns if c != "score"]
+    return documents.select(*names, F.arrow_udf(score, "double").asNondeterministic()("text").alias("score"))  # else a filter would run it again
 
 
 def query(spark, sf_dir):
