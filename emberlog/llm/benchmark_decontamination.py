@@ -18,15 +18,15 @@ each by itself. Empty tables work; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import mix, read, slices, text_bytes, word_hashes, words_of
+from .common import mix, read, release, slices, stored, text_bytes, word_hashes, words_of
 
 WINDOW = 10
 BLOCK = 2
@@ -39,6 +39,11 @@ _is_word[48:58] = _is_word[97:123] = True
 _is_word[128:] = True
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
+_ADDED = ["n_words", "n_hit", "n_items", "items", "spans"]
+_STATE = pa.struct([("hit", pa.binary()), ("items", pa.list_(pa.string()))])
+_STATE_TYPE = "struct<hit: binary, items: array<string>>"
+_FOUND = pa.struct([*((c, pa.int64()) for c in _ADDED[:3]), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+_FOUND_TYPE = "struct<n_words: bigint, n_hit: bigint, n_items: bigint, items: array<string>, spans: array<struct<start: bigint, end: bigint>>>"
 
 
 @dataclass
@@ -169,58 +174,62 @@ def _parts(benchmark: DataFrame, most: int):
         yield ids, texts
 
 
+def _finished(text: Text, offsets: np.ndarray, bits: list[bytes], items: list[list[str]]) -> pa.Array:
+    """The result's struct from the packed hit words and the items of each text."""
+    n_words, n_hit, spans = np.diff(text.bounds), [], []
+    for r, packed in enumerate(bits):
+        hit = np.unpackbits(np.frombuffer(packed, np.uint8), count=n_words[r])
+        n_hit.append(int(hit.sum()))
+        if not n_hit[-1]:
+            spans.append([])
+            continue
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
+        a, b = text.starts[text.bounds[r] + edge[::2]] - offsets[r], text.ends[text.bounds[r] + edge[1::2] - 1] - offsets[r]
+        spans.append([{"start": int(x), "end": int(y)} for x, y in zip(a, b, strict=True)])
+    return pa.StructArray.from_arrays([pa.array(n_words.astype(np.int64)), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, _FOUND.field("spans").type)], fields=list(_FOUND))
+
+
+def _searching(shared, last: bool):
+    """A column function of (text, state before): the state, or with the last part the result."""
+
+    def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = _FOUND if last else _STATE
+        for texts, states in parts:
+            out = [pa.array([], kind)]
+            for rows, data, offsets in slices(pa.record_batch([texts, states], ["text", "state"])):
+                text = Text.of(data, offsets)
+                hit, items = shared.value.search(text)
+                bits = [np.packbits(hit[a:b]) for a, b in zip(text.bounds[:-1], text.bounds[1:], strict=True)]
+                for r, old in enumerate(rows.column(1).to_pylist()):
+                    if old:
+                        bits[r], items[r] = bits[r] | np.frombuffer(old["hit"], np.uint8), items[r] | set(old["items"])
+                bits, names = [x.tobytes() for x in bits], [sorted(x) for x in items]
+                out.append(_finished(text, offsets, bits, names) if last else pa.StructArray.from_arrays([pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string()))], fields=list(_STATE)))
+            yield pa.concat_arrays(out)
+
+    return F.arrow_udf(run, _FOUND_TYPE if last else _STATE_TYPE).asNondeterministic()
+
+
 def benchmark_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """The documents' columns and n_words, n_hit, n_items long, items array<string> (sorted), spans array<struct<start, end>>:
-    the hit words as byte ranges of the UTF-8 text, joined where they touch."""
+    the hit words as byte ranges of the UTF-8 text, joined where they touch. Only texts go to Python, the rest comes back.
+
+    Between parts the documents and their hits so far are written out, and the part's tables are dropped."""
     context = documents.sparkSession.sparkContext
-    added = ["n_words", "n_hit", "n_items", "items", "spans"]
-    names = [c for c in documents.columns if c not in added]
-    out = documents.select(*[F.col(f"`{c}`") for c in names])
-    state = T.StructType([*out.schema.fields, T.StructField("__hit", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType()))])
-
-    def search(shared):
-        def run(batches):
-            for batch in batches:
-                for rows, data, offsets in slices(batch):
-                    text = Text.of(data, offsets)
-                    hit, items = shared.value.search(text)
-                    old = [None, None] if rows.num_columns == len(names) else [rows.column(len(names)).to_pylist(), rows.column(len(names) + 1).to_pylist()]
-                    bits = [np.packbits(hit[a:b]) for a, b in zip(text.bounds[:-1], text.bounds[1:], strict=True)]
-                    if old[0]:
-                        bits = [x | np.frombuffer(y, np.uint8) for x, y in zip(bits, old[0], strict=True)]
-                        items = [x | set(y) for x, y in zip(items, old[1], strict=True)]
-                    yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], pa.array([x.tobytes() for x in bits], pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], state.names)
-
-        return run
-
-    passes = 0
+    own = {c: c if c == "text" else f"__c{i}" for i, c in enumerate(c for c in documents.columns if c not in _ADDED)}  # no name of ours can clash
+    out = documents.select(*[F.col(f"`{c}`").alias(x) for c, x in own.items()], F.lit(None).cast(_STATE_TYPE).alias("__state"))
+    held = None
     for part in _parts(benchmark, part_bytes):
-        out = out.mapInArrow(search(context.broadcast(Benchmark(*part, window))), state)
-        passes += 1
-    if not passes:
-        out = out.mapInArrow(search(context.broadcast(Benchmark([], [], window))), state)
-    span = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end")])
-    schema = T.StructType([*documents.select(*[F.col(f"`{c}`") for c in names]).schema.fields, *[T.StructField(c, T.LongType()) for c in added[:3]], T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(span))])
-
-    def finish(batches):
-        for batch in batches:
-            for rows, data, offsets in slices(batch):
-                starts, ends, bounds = words_of(_lower[data], offsets, _is_word)
-                n_words, n_hit, spans = np.diff(bounds), [], []
-                for r, packed in enumerate(rows.column(len(names)).to_pylist()):
-                    hit = np.unpackbits(np.frombuffer(packed, np.uint8), count=n_words[r])
-                    n_hit.append(int(hit.sum()))
-                    if not n_hit[-1]:
-                        spans.append([])
-                        continue
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
-                    a, b = starts[bounds[r] + edge[::2]] - offsets[r], ends[bounds[r] + edge[1::2] - 1] - offsets[r]
-                    spans.append([{"start": int(x), "end": int(y)} for x, y in zip(a, b, strict=True)])
-                items = rows.column(len(names) + 1)
-                n_items = [len(x) for x in items.to_pylist()]
-                yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], pa.array(n_words.astype(np.int64)), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), items, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], schema.names)
-
-    return out.mapInArrow(finish, schema)
+        if held is not None:
+            done = stored(out.withColumn("__state", _searching(held, False)("text", "__state")))
+            held.destroy()
+            release(out)
+            out = done
+        held = context.broadcast(Benchmark(*part, window))  # of at most part_bytes of item text
+    if held is None:
+        held = context.broadcast(Benchmark([], [], window))
+    out = out.withColumn("__found", _searching(held, True)("text", "__state"))
+    return out.select(*[F.col(x).alias(c) for c, x in own.items()], *[F.col(f"__found.{c}").alias(c) for c in _ADDED])
 
 
 def query(spark, sf_dir):
