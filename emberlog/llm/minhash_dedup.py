@@ -20,7 +20,8 @@ than four standard deviations below the threshold. Nothing is capped: every pair
 
 Defined cases: a null or wordless text has an empty set and links with nothing; its component is its own doc_id. Rows
 that repeat a doc_id are documents of their own under that id. A null doc_id has a null component and ``kept`` false
-when it is linked with nothing, and doesn't count as the smallest id of its group. Very long texts are read in whole.
+unless linked with an id, and doesn't count as the smallest id of its group; its links count as any. doc_id is read
+as a long. Very long texts are read in whole.
 """
 
 from __future__ import annotations
@@ -29,9 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import groups, mix, read, slices, stored, word_hashes, words_of
+from .common import groups, mix, read, slices, stored, swept, word_hashes, words_of
 from .components import connected_components
 
 WIDTH = 5  # words of a shingle
@@ -39,7 +39,7 @@ NUM, DEN = 75, 100  # documents link at NUM / DEN similarity and above
 ROWS, BANDS = 5, 40
 SKETCH_WORDS = 8  # 64-bit words of an odd sketch
 MOST_BITS = 18  # of the 64 bits that a bucket's rows carry may differ; at similarity 0.75 it is 8 +- 2.6
-MEETING = 1024
+MEETING, MOST_SHINGLES = 1024, 1 << 20  # nodes of a block, and shingles of their sets
 LEAST_ESTIMATE = 0.60  # sketches estimating less than this aren't confirmed
 
 _is_word = np.ones(256, bool)
@@ -144,7 +144,7 @@ def _signatures(batches):
             n = np.diff(bounds)
             keys, sketches = band_keys(samples), odd_sketches(samples)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel().view(np.int64))) for x in (keys, sketches)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), pa.array(set_digests(sums, bounds).view(np.int64)), pa.array(brief_bits(samples).view(np.int64)), *lists], ["doc_id", "n", "node", "bits", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n.astype(np.int64)), pa.array(set_digests(sums, bounds).view(np.int64)), pa.array(brief_bits(samples).view(np.int64)), *lists], ["doc_id", "text_key", "n", "node", "bits", "bands", "sketch"])
 
 
 def _sets(batches):
@@ -168,9 +168,9 @@ def _near(a: str, b: str):
 
 
 def _sets_of(wanted: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted nodes, from one document of each."""
-    ids = wanted.join(nodes.select("node", "doc_id"), "node").select(F.col("doc_id").alias("wanted")).distinct()
-    texts = documents.join(ids, F.col("doc_id") == F.col("wanted"), "left_semi").select("doc_id", "text")
+    """(node, shingles) of the wanted nodes, from the document that stands for each."""
+    ids = wanted.join(nodes.select("node", "doc_id", "text_key"), "node").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__of")).distinct()
+    texts = documents.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__of")), "left_semi").select("doc_id", "text")
     return stored(texts.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
 
 
@@ -185,12 +185,20 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> Data
 
 def _links_across(shared: DataFrame, components: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """Links between different components among the nodes that share buckets of one leader: compared by sketch where they meet, and where those are near
-    enough, by their full sets. Tasks hand on nodes and links that join components, never pairs."""
+    enough, by their full sets. Tasks hand on nodes and links that join components, never pairs.
+
+    The leader's largest component is the main one; blocks of the rest meet each other and those of the main one, which
+    don't meet among themselves. A block has about ``MEETING`` nodes or ``MOST_SHINGLES``, whichever is less."""
     placed = shared.select(F.col("a").alias("leader"), F.col("b").alias("node")).distinct().join(components, "node", "left").select("leader", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-    mixed = stored(mixed.select("leader", F.ceil(F.col("size") / MEETING).cast("int").alias("blocks")))
-    met = placed.join(mixed, "leader").join(nodes.select("node", "n", "sketch"), "node")
-    met = met.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.join(nodes.select("node", "n", "sketch"), "node")
+    parts = placed.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    blocks = lambda size, shingles: F.ceil(F.greatest(size / MEETING, shingles / MOST_SHINGLES)).cast("int")
+    mixed = parts.groupBy("leader").agg(F.max(F.struct("size", "component", "shingles")).alias("main"), F.sum("size").alias("size"), F.sum("shingles").alias("shingles")).where("main.size < size")
+    mixed = stored(mixed.select("leader", F.col("main.component").alias("main"), blocks(F.col("main.size"), F.col("main.shingles")).alias("main_blocks"), blocks(F.col("size") - F.col("main.size"), F.col("shingles") - F.col("main.shingles")).alias("blocks")))
+    met = placed.join(mixed, "leader")
+    in_main, hashed = F.col("component") == F.col("main"), F.xxhash64("node", F.lit(3))
+    met = met.withColumn("own", F.when(in_main, F.col("blocks") + F.pmod(hashed, F.col("main_blocks"))).otherwise(F.pmod(hashed, F.col("blocks"))).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1 + F.when(in_main, 0).otherwise(F.col("main_blocks")))))
     task = F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other"))
     met = met.select(task.alias("task"), "node", "component", "n", "sketch", (F.col("own") > F.col("other")).alias("side"), (F.col("own") == F.col("other")).alias("same"))
     near = stored(met.repartition("task").sortWithinPartitions("task").mapInArrow(_near_nodes, met.schema))
@@ -261,55 +269,61 @@ def _joining_links(batches):
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """(doc_id, text) -> one row for each document: doc_id, n_shingles, component_id, kept, node, group_id.
+    """(doc_id, text) -> one row for each document: doc_id, n_shingles, component_id, kept, node, group_id, text_key.
 
     ``node`` is the digest of the document's set and ``group_id`` that of its component; both are null without words.
+    ``text_key`` is xxhash64(text).
     """
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(documents.mapInArrow(_signatures, "doc_id long, n long, node long, bits long, bands array<long>, sketch array<long>"))
-    # a node is a distinct set; a null doc_id can't be looked up, so any other id of the set stands for it
-    ids = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    nodes = stored(signed.join(ids.select(F.col("node").alias("of"), F.col("doc_id").alias("least")), (F.col("node") == F.col("of")) & (F.col("doc_id") == F.col("least"))).select("node", "doc_id", "n", "bits", "bands", "sketch").dropDuplicates(["node"]))
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    signed = stored(documents.mapInArrow(_signatures, "doc_id long, text_key long, n long, node long, bits long, bands array<long>, sketch array<long>"))
+    # a node is a distinct set; the document of the smallest id stands for it, one without an id only if all lack it
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    nodes = signed.where("n > 0").groupBy("node").agg(F.min(rank).alias("stands"), *[F.first(c).alias(c) for c in ("n", "bits", "bands", "sketch")])
+    nodes = stored(nodes.select("node", "stands.doc_id", "stands.text_key", "n", "bits", "bands", "sketch"))
     rank = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"), F.col("bits").alias("bits"))
     banded = nodes.select("node", "bits", F.explode("bands").alias("bucket"))
     leaders = banded.groupBy("bucket").agg(F.min(rank).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", F.col("lead.node").alias("a"), F.col("lead.bits").alias("a_bits"))
     shared = stored(banded.join(stored(leaders), "bucket").select("bucket", "a", F.col("node").alias("b"), F.bit_count(F.col("a_bits").bitwiseXOR(F.col("bits"))).alias("differ")))
+    swept(documents.sparkSession)
     brief = nodes.select("node", "n", "sketch")
     side = lambda x: brief.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
     stars = shared.where((F.col("a") != F.col("b")) & (F.col("differ") <= MOST_BITS)).select("a", "b").distinct()
     stars = stars.join(side("a"), "a").join(side("b"), "b").where(_near("a", "b")).select("a", "b")
     stars = stored(stars)
     links = stored(_confirmed(stars, nodes, documents))
+    swept(documents.sparkSession)
     first = connected_components(links)
     found = links.union(_links_across(shared, first, nodes, documents))
     grouped = connected_components(found)
-    least = ids.join(grouped, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    swept(documents.sparkSession)
+    least = nodes.select("node", "doc_id").join(grouped, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     smallest = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_node = least.join(smallest, "component").select("node", "component_id", F.col("component").alias("group_id"))
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
+    out = signed.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "node", "group_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "node", "group_id", "text_key")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents without near duplicates: of each group the row of the smallest (doc_id, node) stays, null ids last.
+    """The documents without near duplicates: of each group the row of the smallest (doc_id, node, text_key) stays, null ids last.
 
-    Documents without words all stay. Rows are told apart by doc_id and shingle set, so repeated ids do no harm.
+    Documents without words all stay. Rows are told apart by doc_id and text, so repeated ids do no harm; of rows that
+    repeat both, one stays. Texts don't leave the JVM: the documents are joined with the list of those that go.
     """
-    names = documents.columns
-    found = near_duplicates(documents.select("doc_id", "text")).where("node is not null")
-    stays = found.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.node").alias("__of"))
-
-    def tag(batches):
-        for batch in batches:
-            for rows, data, offsets in slices(batch):
-                sums, bounds = shingle_sets(data, offsets)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(set_digests(sums, bounds).view(np.int64), mask=np.diff(bounds) == 0)], [*names, "__node"])
-
-    tagged = documents.mapInArrow(tag, T.StructType([*documents.schema.fields, T.StructField("__node", T.LongType())]))
-    joined = tagged.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__of")), "left")
-    kept = joined.where("__node is null or __of is not null").withColumn("__each", F.when(F.col("__node").isNull(), F.monotonically_increasing_id()))
-    return kept.dropDuplicates(["doc_id", "__node", "__each"]).select(*[F.col(f"`{c}`") for c in names])
+    own = {c: c if c in ("doc_id", "text") else f"__c{i}" for i, c in enumerate(documents.columns)}  # no name of ours can clash
+    plain = documents.select(*[F.col(f"`{c}`").alias(x) for c, x in own.items()]).withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", F.xxhash64("text"))
+    rows = near_duplicates(documents.select("doc_id", "text")).where("node is not null").groupBy("group_id", "doc_id", "node", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    rows = stored(rows)
+    stays = rows.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "text_key")).alias("k"))
+    rows = rows.join(stays, "group_id").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_key") == F.col("k.text_key")))
+    marked = stored(rows.where("not stays or n > 1").select(F.col("doc_id").alias("__of"), F.col("text_key").alias("__text"), "stays"))
+    swept(documents.sparkSession)
+    same = F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__key") == F.col("__text"))
+    kept = plain.join(marked, same, "left_anti")
+    repeated = marked.where("stays")
+    if repeated.limit(1).count():  # of rows that repeat both id and text, one
+        kept = kept.union(plain.join(repeated, same, "left_semi").dropDuplicates(["__id", "__key"]).select(*kept.columns))
+    return kept.select(*[F.col(x).alias(c) for c, x in own.items()])
 
 
 def query(spark, sf_dir):
