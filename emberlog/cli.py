@@ -6,6 +6,7 @@ Exit codes: 0 done, 1 no lines, 2 a bad level, 3 a model or sink failed, 4 somet
 from __future__ import annotations
 
 import argparse
+import itertools
 import json
 import sys
 
@@ -17,11 +18,15 @@ from .narration import providers
 from .operators import clusters, parsing
 from .plans import incident
 from .reports import report as reports
+from .scratch import folder
 from .sinks import push
 from .sources import text as sources
 from .streaming import live
 
 
+TABLE_ROWS = 10_000
+
+
 def _say(message: str) -> None:
     print(message, file=sys.stderr)
 
@@ -32,6 +37,12 @@ def _entries(spark, paths: list[str], fmt: str | None, source: str | None = None
     return parsed.withColumn("source", F.lit(source or ", ".join(p.rsplit("/", 1)[-1] for p in paths)))
 
 
+def _positive(value: str) -> int:
+    if (n := int(value)) < 1:
+        raise argparse.ArgumentTypeError("it is at least 1")
+    return n
+
+
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="emberlog", description="Triage logs with Spark.")
     sub = p.add_subparsers(dest="command", required=True)
@@ -45,9 +56,10 @@ def _parser() -> argparse.ArgumentParser:
 
     a = command("analyze", "signatures, onset, cascade and a report")
     a.add_argument("paths", nargs="+", help="files, directories, or - for standard input")
-    a.add_argument("--top", type=int, default=8)
+    a.add_argument("--top", type=_positive, default=8)
     a.add_argument("--drain", action="store_true")
     a.add_argument("--semantic", action="store_true")
+    a.add_argument("--embedder", choices=("tfidf", "ollama"), default="tfidf")
     a.add_argument("--infer-severity", action="store_true")
     a.add_argument("--baseline", help="a healthy log to learn expected error rates from")
     a.add_argument("--provider")
@@ -66,6 +78,7 @@ def _parser() -> argparse.ArgumentParser:
     s = command("ship", "push a log's streams to a log store")
     s.add_argument("paths", nargs="+")
     s.add_argument("--url", default="http://localhost:3100")
+    s.add_argument("--source", help="the source's name in the store")
     w = command("watch", "follow growing files")
     w.set_defaults(min_level="ERROR")
     w.add_argument("path", help="a path or pattern")
@@ -75,6 +88,7 @@ def _parser() -> argparse.ArgumentParser:
     v.add_argument("--host", default="127.0.0.1")
     v.add_argument("--port", type=int, default=8000)
     v.add_argument("--logs", default=".", help="the folder that may be read")
+    v.add_argument("--provider", help="the model that answers questions")
     return p
 
 
@@ -84,7 +98,7 @@ def analyze(spark, args, least: int) -> int:
     if not n:
         _say("There are no log lines.")
         return 1
-    options = incident.Options(args.top, least, "drain" if args.drain else "regex", args.semantic, args.infer_severity, baseline=_entries(spark, [args.baseline], args.format) if args.baseline else None)
+    options = incident.Options(args.top, least, "drain" if args.drain else "regex", args.semantic, args.infer_severity, embedder=args.embedder, baseline=_entries(spark, [args.baseline], args.format) if args.baseline else None)
     p = incident.plan(entries, options)
     source = entries.select("source").first()[0]
     f = incident.findings(p, source, args.redact)
@@ -118,13 +132,16 @@ def diff(spark, args, least: int) -> int:
     sides = [clusters.cluster_and_rank(_entries(spark, [p], args.format), None, least, method)[1] for p in (args.before, args.after)]
     changes = clusters.diff_clusters(*sides)
     shown = clusters.ordered_diff(changes if args.all else changes.where("status <> 'unchanged'"))
-    rows = [r.asDict() | {"level": incident.NAMES.get(r["level"], "?")} for r in shown.limit(incident.SHOWN).collect()]
-    print(reports.table(rows, ["status", "level", "before", "after", "template"]))
+    rows = (r.asDict() | {"level": incident.NAMES.get(r["level"], "?")} for r in shown.toLocalIterator())
+    columns = ["status", "level", "before", "after", "template"]
+    print(reports.table(list(itertools.islice(rows, TABLE_ROWS)), columns))
+    while more := list(itertools.islice(rows, TABLE_ROWS)):  # all of them, aligned so many at a time
+        print(reports.table(more, columns))
     return 0
 
 
 def ship(spark, args, least: int) -> int:
-    entries = _entries(spark, args.paths, args.format).where(severity.at_least(F.col("level"), least))
+    entries = _entries(spark, args.paths, args.format, args.source).where(severity.at_least(F.col("level"), least))
     try:
         _say(f"{push.push_streams(clusters.streams(entries, args.redact), args.url)} lines pushed")
     except Exception as e:  # noqa: BLE001 - a task's failure comes wrapped
@@ -145,7 +162,7 @@ def watch(spark, args, least: int) -> int:
         for r in batch.orderBy("line_no").toLocalIterator():
             print(json.dumps(r.asDict(), default=str, ensure_ascii=False), flush=True)
 
-    query = rows.writeStream.foreachBatch(show).trigger(processingTime=args.interval).option("checkpointLocation", live.scratch(spark)).start()
+    query = rows.writeStream.foreachBatch(show).trigger(processingTime=args.interval).option("checkpointLocation", folder(spark, "watch")).start()
     try:
         query.awaitTermination()
     except KeyboardInterrupt:
@@ -162,5 +179,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "serve":
         from . import service
 
-        return service.serve(session.get_session(), args.host, args.port, args.logs)
+        try:
+            model = providers.get_provider(args.provider) if args.provider else None
+        except providers.NarrationError as e:
+            _say(f"That provider isn't to be had: {e}")
+            return 4
+        return service.serve(session.get_session(), args.host, args.port, args.logs, model)
     return {"analyze": analyze, "diff": diff, "ship": ship, "watch": watch}[args.command](session.get_session(), args, least)

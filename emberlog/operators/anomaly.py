@@ -5,8 +5,13 @@ Entries are only ever aggregated; what is ordered are buckets, one row for each
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import scoring, severity
 
@@ -19,6 +24,8 @@ BURST_EVENTS, BURST_SHARE = 4, 0.6
 CHANGE_ONLY_CONFIDENCE = 0.6
 
 _DAY = 86_400
+SLOT_RUN = 65_536  # buckets that are laid out as one array
+MOST_SLOTS = 100_000_000  # buckets of a source; more is an error
 
 
 def choose_width(span_seconds: Column) -> Column:
@@ -47,7 +54,9 @@ def bucketize(entries: DataFrame, bucket_seconds: int | None = None) -> DataFram
     grid = spans(entries, bucket_seconds)
     counted = entries.where("ts is not null").select("source", "ts", "level").join(grid, "source").select("source", bucket_of(F.col("ts"), F.col("origin"), F.col("width")).alias("idx"), "level")
     counts = counted.groupBy("source", "idx").agg(F.count(F.lit(1)).alias("total"), F.count_if(severity.is_error(F.col("level"))).alias("errors"), F.count_if(severity.is_warning(F.col("level"))).alias("warnings"))
-    slots = grid.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)))
+    few = F.when(F.col("buckets") <= MOST_SLOTS, F.col("buckets")).otherwise(F.raise_error(F.format_string("source %s spans %d buckets: give a larger width, or look for a stray time", "source", "buckets")).cast("long"))
+    runs = grid.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((few - 1) / SLOT_RUN))))
+    slots = runs.withColumn("idx", F.explode(F.sequence(F.col("run") * SLOT_RUN, F.least(F.col("run") * SLOT_RUN + SLOT_RUN, "buckets") - 1))).drop("run")
     start = F.timestamp_micros(F.unix_micros("origin") + F.col("idx") * F.col("width") * 1_000_000)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return slots.join(counts, ["source", "idx"], "left").select("source", "idx", start.alias("start"), "width", zero("total"), zero("errors"), zero("warnings"))
@@ -68,25 +77,25 @@ def seasonal_z(buckets: DataFrame, baseline: DataFrame) -> DataFrame:
     return joined.withColumn("z", (F.col("errors") - expected) / F.sqrt(expected + 1)).drop("hour", "expected", "overall")
 
 
-def _ewma(errors: Column) -> Column:
-    """z of each value against the exponentially weighted mean and variance before it."""
-    first = F.element_at(errors, 1).cast("double")
-    state = F.struct(first.alias("mean"), F.lit(0.0).alias("var"), F.array(F.lit(0.0)).alias("z"))
-
-    def step(acc: Column, x: Column) -> Column:
-        off = x.cast("double") - acc["mean"]
-        spread = F.sqrt(acc["var"])
-        z = F.when(spread > FLAT, off / spread).when(off > 0, F.lit(float("inf"))).otherwise(0.0)
-        return F.struct((acc["mean"] + ALPHA * off).alias("mean"), ((1 - ALPHA) * (acc["var"] + ALPHA * off * off)).alias("var"), F.concat(acc["z"], F.array(z)).alias("z"))
-
-    return F.aggregate(F.slice(errors, 2, F.greatest(F.size(errors) - 1, F.lit(0))), state, step, lambda acc: acc["z"])
+def _ewma(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """z of each value against the exponentially weighted mean and variance before it; rows come by source and time."""
+    last, mean, var = None, 0.0, 0.0
+    for batch in batches:
+        out = []
+        for source, errors in zip(batch.column(0).to_pylist(), batch.column(batch.schema.get_field_index("errors")).to_pylist(), strict=True):
+            if source != last:
+                last, mean, var = source, float(errors), 0.0
+            off, spread = errors - mean, math.sqrt(var)
+            out.append(off / spread if spread > FLAT else math.inf if off > 0 else 0.0)
+            mean, var = mean + ALPHA * off, (1 - ALPHA) * (var + ALPHA * off * off)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "z"])
 
 
 def ewma_z(buckets: DataFrame) -> DataFrame:
-    """Buckets with z. The recurrence is sequential, so a source's bucket counts, and nothing else, are one array."""
-    series = buckets.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("idx", "start", "width", "total", "errors", "warnings"))).alias("b"))
-    zs = series.withColumn("z", _ewma(F.transform("b", lambda x: x["errors"])))
-    return zs.select("source", F.explode(F.arrays_zip("b", "z")).alias("r")).select("source", "r.b.*", "r.z")
+    """Buckets with z. The recurrence is sequential, so a source's buckets pass one task in order, two numbers being carried."""
+    series = buckets.select("source", "idx", "start", "width", "total", "errors", "warnings").where("source is not null")
+    schema = StructType([*series.schema.fields, StructField("z", DoubleType())])
+    return series.repartition("source").sortWithinPartitions("source", "idx").mapInArrow(_ewma, schema)
 
 
 def spikes(scored: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ COMPONENT_KEYS = ("service", "component", "module", "logger", "subsystem")
 DEFAULT_SCORE_LEVEL = 20
 
 KEY = ["source", "template", "level"]
+SLICE_SECONDS = 3600  # of a push stream's row
 
 
 def assign_templates(entries: DataFrame, least: int | None = 30) -> DataFrame:
@@ -85,14 +86,34 @@ def status_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("status").count()
 
 
-def streams(entries: DataFrame, redact: bool = False, base_ns: int = 0) -> DataFrame:
-    """Push streams: (source, level_name, cluster, values array<struct<ts_ns, line>>), values by time then line number.
+def totals(clusters: DataFrame) -> DataFrame:
+    """(source, clusters, total): how many clusters there are, and entries in them."""
+    return clusters.groupBy("source").agg(F.count(F.lit(1)).alias("clusters"), F.sum("count").alias("total"))
 
-    A row without a time gets ``base_ns`` and its line number.
+
+def severe_total(entries: DataFrame) -> DataFrame:
+    """(n): errors and worse in all logs."""
+    return entries.where(severity.is_error(F.col("level"))).agg(F.count(F.lit(1)).alias("n"))
+
+
+def line_filter(entries: DataFrame, contains: str | None = None, without: str | None = None, case: bool = True) -> DataFrame:
+    """Entries whose line holds one string and not another; ``case`` false ignores the case of the first."""
+    out = entries
+    if contains is not None:
+        out = out.where(F.contains("raw", F.lit(contains)) if case else F.contains(F.lower("raw"), F.lit(contains.lower())))
+    return out if without is None else out.where(~F.contains("raw", F.lit(without)))
+
+
+def streams(entries: DataFrame, redact: bool = False, base_ns: int = 0, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Push streams: (source, level_name, cluster, slice, values array<struct<ts_ns, line>>), values by time then line number.
+
+    A stream comes in slices of time, so that a noisy signature is many rows. A row without a time gets ``base_ns`` and
+    its line number; every million lines of those are a slice.
     """
     line = F.regexp_replace("raw", r"\n+$", "")
     line = text.redact(line) if redact else line
     ns = F.coalesce(F.unix_micros("ts") * 1000, F.lit(base_ns) + F.col("line_no") - 1)
-    rows = entries.select("source", F.coalesce(F.lower(severity.level_name(F.col("level"))), F.lit("unknown")).alias("level_name"), text.signature(F.col("message")).alias("cluster"), F.struct(ns.alias("ts_ns"), "line_no", line.alias("line")).alias("v"))
+    rows = entries.select("source", F.coalesce(F.lower(severity.level_name(F.col("level"))), F.lit("unknown")).alias("level_name"), text.signature(F.col("message")).alias("cluster"), F.struct(ns.alias("ts_ns"), "line_no", line.alias("line")).alias("v"), F.col("ts").isNotNull().alias("timed"))
+    rows = rows.withColumn("slice", F.floor(F.when(F.col("timed"), F.col("v.ts_ns") / (slice_seconds * 10**9)).otherwise(-1 - F.col("v.line_no") / 10**6)))
     values = F.transform(F.array_sort(F.collect_list("v")), lambda v: F.struct(v["ts_ns"].alias("ts_ns"), v["line"].alias("line")))
-    return rows.groupBy("source", "level_name", "cluster").agg(values.alias("values"))
+    return rows.groupBy("source", "level_name", "cluster", "slice").agg(values.alias("values"))

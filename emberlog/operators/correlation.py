@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..scratch import kept
 
 MOST_LAG, LEAST_OVERLAP = 600.0, 0.2
 KEY = ["source", "template", "level"]
@@ -77,9 +78,13 @@ def trigger(events: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def correlate(assigned: DataFrame, clusters: DataFrame, widths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(timeline, links, trigger) of ranked clusters and their entries."""
-    events = timeline(clusters)
-    found = links(events, overlaps(occupancy(assigned, events, widths)))
+    """(timeline, links, trigger) of ranked clusters and their entries.
+
+    The timeline, the buckets held and the links are each read several times and small once made (a row for each ranked
+    cluster, for each of its buckets, and for each effect), so they are written out; the entries are read twice in all.
+    """
+    events = kept(timeline(clusters))
+    found = kept(links(events, overlaps(kept(occupancy(assigned, events, widths)))))
     return events, found, trigger(events, found)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..scratch import kept
 from .clusters import rank, severity_score
 
 THRESHOLD = 0.85
@@ -41,13 +42,50 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((na < 1e-12) | (nb < 1e-12), 0.0).otherwise(dot(a, b) / (na * nb))
 
 
-def embedded_pairs(clusters: DataFrame, embed: Callable[[list[str]], list[list[float]]], threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs under an embedder of dense vectors, which is called once on the cluster templates of each task.
+MOST_EMBEDDED = 20_000  # clusters of a source whose dense vectors are compared all with all
 
-    Pairs are formed within blocks of a source's clusters, whose number the caller bounds by a top-n.
+
+class LocalServer:
+    """Embeddings from a model server on this machine: one request a text, so nothing leaves it."""
+
+    #: The server's public address and model.
+    URL, MODEL, SECONDS = "http://localhost:11434/api/embeddings", "nomic-embed-text", 60.0
+
+    def __init__(self, url: str = URL, model: str = MODEL, seconds: float = SECONDS):
+        self.url, self.model, self.seconds = url, model, seconds
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        import json
+        import urllib.request
+
+        out = []
+        for t in texts:
+            request = urllib.request.Request(self.url, json.dumps({"model": self.model, "prompt": t}).encode(), {"Content-Type": "application/json"})
+            with urllib.request.urlopen(request, timeout=self.seconds) as answer:
+                out.append(json.load(answer)["embedding"])
+        return out
+
+
+def get_similarity(name: str = "tfidf", **options) -> Callable[[DataFrame, float], DataFrame]:
+    """A function of (clusters, threshold) that gives the similar pairs: by ``ollama``, a local model server, or else by
+    ``tfidf``, which any other name stands for."""
+    if name == "ollama":
+        embed = LocalServer(**options)
+        return lambda clusters, threshold=THRESHOLD: embedded_pairs(clusters, embed, threshold)
+    return lambda clusters, threshold=THRESHOLD: similar_pairs(tfidf(clusters), threshold)
+
+
+def embedded_pairs(clusters: DataFrame, embed: Callable[[list[str]], list[list[float]]], threshold: float = THRESHOLD, most: int = MOST_EMBEDDED) -> DataFrame:
+    """The pairs under an embedder of dense vectors, which is called on the cluster templates of each task.
+
+    All pairs of a source are compared, so a source of over ``most`` clusters is an error: take a top-n first.
     """
     import pandas as pd
 
+    clusters = kept(clusters)
+    if large := clusters.groupBy("source").count().where(F.col("count") > most).first():
+        raise ValueError(f"{large['source']} has {large['count']} clusters; at most {most} can be compared all with all")
+
     def vectors(batches):
         for batch in batches:
             out = batch[["source", "rank"]].copy()
@@ -61,11 +99,13 @@ def embedded_pairs(clusters: DataFrame, embed: Callable[[list[str]], list[list[f
 
 def groups_of(clusters: DataFrame, pairs: DataFrame, rounds: int = 100) -> DataFrame:
     """(source, rank, group): the smallest rank that similar pairs reach, by repeated least-label joins."""
+    pairs = kept(pairs)
     both = pairs.select("source", "a", "b").unionByName(pairs.select("source", F.col("b").alias("a"), F.col("a").alias("b")))
     labels = clusters.select("source", "rank", F.col("rank").alias("group"))
     for _ in range(rounds):
         near = both.join(labels, (both["source"] == labels["source"]) & (both["b"] == labels["rank"])).groupBy(both["source"], both["a"]).agg(F.min("group").alias("near"))
-        new = labels.join(near, (labels["source"] == near["source"]) & (labels["rank"] == near["a"]), "left").select(labels["source"], labels["rank"], F.col("group").alias("old"), F.least("group", F.coalesce("near", "group")).alias("group")).cache()
+        new = labels.join(near, (labels["source"] == near["source"]) & (labels["rank"] == near["a"]), "left").select(labels["source"], labels["rank"], F.col("group").alias("old"), F.least("group", F.coalesce("near", "group")).alias("group"))
+        new = kept(new)
         changed = new.where("old <> group").limit(1).count()
         labels = new.select("source", "rank", "group")
         if not changed:
@@ -79,6 +119,7 @@ def merge_similar(clusters: DataFrame, threshold: float = THRESHOLD, pairs: Data
     Members fold in rank order: the side with at least the other's count gives template, sample and component; counts
     add up and the highest level stays.
     """
+    clusters = kept(clusters)
     pairs = similar_pairs(tfidf(clusters), threshold) if pairs is None else pairs
     row = F.struct("rank", "template", "level", "count", "timed", "first_line", "rep_message", "component", "first_seen", "last_seen")
     gathered = clusters.join(groups_of(clusters, pairs), ["source", "rank"]).groupBy("source", "group").agg(F.array_sort(F.collect_list(row)).alias("m"))

@@ -31,7 +31,7 @@ def _sure(value: float) -> str:
 
 
 def _node(f: Findings, i: int) -> str:
-    return f"[{f.timeline[i]['component'] or '?'}]"
+    return f"[{f.events[i]['component'] or '?'}]"
 
 
 def components(f: Findings) -> list[str]:
@@ -48,12 +48,12 @@ def evidence(f: Findings) -> str:
     if f.spikes:
         out.append("Spikes: " + ", ".join(f"{_clock(s['start'])} with {s['errors']} errors (z={s['z']:.1f})" for s in f.spikes[:SPIKES]))
     if f.trigger is not None:
-        e = f.timeline[f.trigger]
+        e = f.events[f.trigger]
         out.append(f"Trigger: {e['template']} at {_clock(e['first_seen'])} ({_sure(f.trigger_confidence)})")
     if f.cascade:
         out.append("Cascade:")
         for x in f.cascade[:LINKS]:
-            cause, effect = (f.timeline[x[k]]["template"][:TEMPLATE_CHARS] for k in ("cause", "effect"))
+            cause, effect = (f.events[x[k]]["template"][:TEMPLATE_CHARS] for k in ("cause", "effect"))
             out.append(f"  {cause} -> {effect} (after {x['lag_seconds']:.0f} s, overlap {x['jaccard']}, confidence {x['confidence']})")
     if f.bursts:
         out.append("Bursts:")
@@ -126,7 +126,7 @@ def deterministic_report(f: Findings) -> Report:
     if f.trigger is None:
         cause = "The times point at no single origin; look at the top signatures."
     else:
-        e = f.timeline[f.trigger]
+        e = f.events[f.trigger]
         after = sum(x["cause"] == f.trigger for x in f.cascade)
         summary += f" First to fail was {_node(f, f.trigger)}; failures that followed it: {after}."
         cause = f"Probably {e['template']}, first at {_clock(e['first_seen'])}, seen {e['count']} times ({_sure(f.trigger_confidence)})."

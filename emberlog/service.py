@@ -1,11 +1,12 @@
 """A small HTTP service over the same operators, on the standard library's server.
 
-GET /healthz, / and /api/stream?path=; POST /api/analyze (a log as the body), /api/simulate, /api/simulate/stop and
-/api/chat ({"question": ..., "log": ...}).
+GET /healthz, / and /api/stream?path=; POST /api/analyze (a log as the body, or a form of file, path, level, drain and
+semantic), /api/simulate?speed=, /api/simulate/stop and /api/chat ({"question": ..., "log": ..., "path": ...}).
 """
 
 from __future__ import annotations
 
+import email
 import json
 import tempfile
 import time
@@ -13,8 +14,10 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
 from urllib.parse import parse_qs, urlparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import severity
 from .narration import providers
 from .operators import parsing
 from .plans import incident
@@ -24,7 +27,22 @@ from .sources import text as sources
 from .sources.tail import TailReader
 from .streaming import live
 
-PAGE = "<!doctype html><title>emberlog</title><h1>emberlog</h1><p>POST a log to <code>/api/analyze</code>.</p>"
+#: The page follows a log, and has it analysed anew every three seconds.
+PAGE = """<!doctype html><meta charset="utf-8"><title>emberlog</title><h1>emberlog</h1>
+<form id="ask"><input name="path" placeholder="log in the folder"> <select name="level"><option>WARNING<option>ERROR<option>CRITICAL<option>INFO</select>
+<label><input type="checkbox" name="drain"> drain</label> <label><input type="checkbox" name="semantic"> merge alike</label> <button>Follow</button></form>
+<h2>Live</h2><pre id="live"></pre><h2>Findings</h2><pre id="found"></pre>
+<script>
+const ask = document.getElementById("ask"), live = document.getElementById("live"), found = document.getElementById("found");
+let stream, clock;
+const analyse = async () => { const r = await fetch("/api/analyze", {method: "POST", body: new URLSearchParams(new FormData(ask))}); found.textContent = JSON.stringify(await r.json(), null, 1); };
+ask.onsubmit = event => {
+  event.preventDefault(); if (stream) stream.close(); clearInterval(clock); live.textContent = "";
+  stream = new EventSource("/api/stream?path=" + encodeURIComponent(ask.path.value));
+  stream.onmessage = e => { const x = JSON.parse(e.data); live.textContent += (x.is_new ? "NEW " : "    ") + x.ts + " " + x.message + "\\n"; };
+  analyse(); clock = setInterval(analyse, 3000);
+};
+</script>"""
 
 
 def inside(folder: str, name: str) -> Path:
@@ -36,14 +54,34 @@ def inside(folder: str, name: str) -> Path:
     return path
 
 
-def analyze_text(spark: SparkSession, body: str, source: str = "upload", redact: bool = True) -> dict:
+def analyze_text(spark: SparkSession, body: str, source: str = "upload", redact: bool = True, least: int = 30, method: str = "regex", merge: bool = False) -> dict:
     """Findings over all clusters of a log, and a report."""
-    entries = parsing.parse_lines(sources.from_iterable(spark, body.splitlines(), source)).cache()
-    f = incident.findings(incident.plan(entries, incident.Options(top=None)), source, redact)
-    entries.unpersist()
+    return _analyzed(spark, sources.from_iterable(spark, body.splitlines(), source), source, redact, incident.Options(None, least, method, merge))
+
+
+def analyze_file(spark: SparkSession, path: Path, redact: bool = True, **options) -> dict:
+    lines = sources.read_lines(spark, str(path))
+    return _analyzed(spark, lines.withColumn("source", F.lit(path.name)), path.name, redact, incident.Options(None, **options))
+
+
+def _analyzed(spark: SparkSession, lines: DataFrame, source: str, redact: bool, options: incident.Options) -> dict:
+    plan = incident.plan(parsing.parse_lines(lines), options)
+    f = incident.findings(plan, source, redact)
+    plan.release()
     return {"findings": incident.to_dict(f), "report": reports.deterministic_report(f).to_dict(), "clusters": [{k: str(v) for k, v in c.items()} for c in f.clusters]}
 
 
+def form_fields(body: str, kind: str) -> dict[str, str]:
+    """The fields of a multipart or url-encoded form; any other body is the field ``file``."""
+    if kind.startswith("multipart/form-data"):
+        message = email.message_from_string(f"Content-Type: {kind}\n\n{body}")
+        parts = message.get_payload() if message.is_multipart() else []
+        return {p.get_param("name", header="content-disposition"): p.get_payload(decode=False).removesuffix("\n") for p in parts}
+    if kind.startswith("application/x-www-form-urlencoded"):
+        return {k: v[0] for k, v in parse_qs(body).items()}
+    return {"file": body}
+
+
 def sse(rows, seconds: float | None = None):
     """Server-sent events: one that says connected, then a JSON object for each row."""
     yield ": connected\n\n"
@@ -113,33 +151,59 @@ def make_handler(spark: SparkSession, logs: str, provider: providers.Provider |
             except ValueError as e:
                 return self._json({"error": str(e)}, 413)
             body = self.rfile.read(size).decode("utf-8", "replace")
-            if self.path == "/api/analyze":
-                return self._json(analyze_text(spark, body)) if body.strip() else self._json({"error": "an empty log"}, 400)
-            if self.path == "/api/simulate":
-                return self._json({"started": simulated.start(), "path": simulated.path})
+            url = urlparse(self.path)
+            if url.path == "/api/analyze":
+                return self._analyze(form_fields(body, self.headers.get("Content-Type") or "") | {k: v[0] for k, v in parse_qs(url.query).items()})
+            if url.path == "/api/simulate":
+                simulated.speed = max(0.1, float(parse_qs(url.query).get("speed", ["1"])[0]))
+                return self._json({"started": simulated.start(), "path": simulated.path, "speed": simulated.speed})
             if self.path == "/api/simulate/stop":
                 simulated.stop()
                 return self._json({"stopped": True})
             if self.path == "/api/chat":
                 try:
                     asked = json.loads(body)
-                    facts = json.dumps(analyze_text(spark, asked.get("log", "")), default=str) if asked.get("log") else ""
+                    facts = json.dumps(analyze_text(spark, asked["log"]), default=str) if asked.get("log") else ""
+                    if asked.get("path"):
+                        facts += json.dumps(analyze_file(spark, inside(logs, asked["path"])), default=str)
                     model = provider or providers.get_provider()
                     return self._json({"answer": model.generate(f"{facts}\n\n{asked['question']}", providers.TRIAGE)})
+                except PermissionError as e:
+                    return self._json({"error": str(e)}, 403)
                 except (ValueError, KeyError):
-                    return self._json({"error": "send {\"question\": ..., \"log\": ...}"}, 400)
+                    return self._json({"error": "send {\"question\": ..., \"log\": ..., \"path\": ...}"}, 400)
                 except providers.NarrationError as e:
                     return self._json({"error": str(e)}, 502)
             return self._json({"error": "not found"}, 404)
 
+        def _analyze(self, asked: dict[str, str]) -> None:
+            """path: a log in the folder, else ``file`` or the body is one; level, drain, semantic as on the command line."""
+            least = severity.level_number(asked.get("level") or "WARNING")
+            if least is None:
+                return self._json({"error": f"{asked['level']!r} is no level"}, 400)
+            yes = lambda name: asked.get(name, "").lower() in ("1", "true", "on", "yes")
+            method = "drain" if yes("drain") else "regex"
+            try:
+                if asked.get("path"):
+                    path = inside(logs, asked["path"])
+                    if not path.exists():
+                        return self._json({"error": "no such log"}, 404)
+                    return self._json(analyze_file(spark, path, least=least, method=method, semantic=yes("semantic")))
+            except PermissionError as e:
+                return self._json({"error": str(e)}, 403)
+            body = asked.get("file", "")
+            if not body.strip():
+                return self._json({"error": "an empty log"}, 400)
+            return self._json(analyze_text(spark, body, least=least, method=method, merge=yes("semantic")))
+
         def log_message(self, *args) -> None:
             pass
 
     return Handler
 
 
-def serve(spark: SparkSession, host: str, port: int, logs: str) -> int:
-    server = ThreadingHTTPServer((host, port), make_handler(spark, logs))
+def serve(spark: SparkSession, host: str, port: int, logs: str, provider: providers.Provider | None = None) -> int:
+    server = ThreadingHTTPServer((host, port), make_handler(spark, logs, provider))
     try:
         server.serve_forever()
     except KeyboardInterrupt:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import urllib.error
 import urllib.request
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,7 @@ from ..reports.report import Report
 
 PUSH_PATH = "/loki/api/v1/push"
 JOB = "emberlog"
+MOST_LINES = 5000  # of a request
 PUSH_SECONDS, WEBHOOK_SECONDS = 30.0, 15.0
 
 
@@ -41,21 +43,40 @@ def write_report(report: Report, path: str) -> str:
 
 
 def push_streams(streams: DataFrame, url: str, timeout: float = PUSH_SECONDS) -> int:
-    """Push `operators.clusters.streams` rows from the executors, one request a batch; returns the number of lines."""
+    """Push `operators.clusters.streams` rows from the executors, at most ``MOST_LINES`` a request; returns the number of lines.
+
+    A stream's slices lie in one partition and in order.
+    """
     endpoint = url.rstrip("/") + PUSH_PATH
 
     def send(batches):
         import pandas as pd
 
         for batch in batches:
-            body = [{"stream": {"job": JOB, "source": r.source, "level": r.level_name, "cluster": r.cluster}, "values": [[str(v["ts_ns"]), v["line"]] for v in r.values_]} for r in batch.rename(columns={"values": "values_"}).itertuples()]
-            if body:
+            for body in requests(r._asdict() for r in batch.rename(columns={"values": "lines"}).itertuples(index=False)):
                 status, text = post(endpoint, {"streams": body}, timeout)
                 if status not in (200, 204):
                     raise PushError(f"{endpoint} answered {status}: {text[:300]}")
-            yield pd.DataFrame({"n": [sum(len(s["values"]) for s in body)]})
+                yield pd.DataFrame({"n": [sum(len(s["values"]) for s in body)]})
+
+    key = ["source", "level_name", "cluster"]
+    return streams.repartition(*key).sortWithinPartitions(*key, "slice").mapInPandas(send, "n long").groupBy().sum("n").first()[0] or 0
 
-    return streams.mapInPandas(send, "n long").groupBy().sum("n").first()[0] or 0
+
+def requests(rows: Iterable[dict]) -> Iterator[list[dict]]:
+    """The streams of each request: rows of source, level_name, cluster and lines, cut and gathered to ``MOST_LINES``."""
+    body: list[dict] = []
+    held = 0
+    for r in rows:
+        for at in range(0, len(r["lines"]), MOST_LINES):
+            part = [[str(v["ts_ns"]), v["line"]] for v in r["lines"][at : at + MOST_LINES]]
+            if body and held + len(part) > MOST_LINES:
+                yield body
+                body, held = [], 0
+            body.append({"stream": {"job": JOB, "source": r["source"], "level": r["level_name"], "cluster": r["cluster"]}, "values": part})
+            held += len(part)
+    if body:
+        yield body
 
 
 class PushSink(DataSource):
@@ -66,15 +87,13 @@ class PushSink(DataSource):
         return "logpush"
 
     def schema(self) -> str:
-        return "source string, level_name string, cluster string, values array<struct<ts_ns: bigint, line: string>>"
+        return "source string, level_name string, cluster string, slice long, values array<struct<ts_ns: bigint, line: string>>"
 
     def writer(self, schema, overwrite: bool) -> PushWriter:
         return PushWriter(self.options["url"].rstrip("/") + PUSH_PATH)
 
 
 class PushWriter(DataSourceWriter):
-    MOST_STREAMS = 500  # of a request
-
     def __init__(self, endpoint: str):
         self.endpoint = endpoint
 
@@ -84,13 +103,7 @@ class PushWriter(DataSourceWriter):
             raise PushError(f"{self.endpoint} answered {status}: {text[:300]}")
 
     def write(self, rows) -> WriterCommitMessage:
-        body: list[dict] = []
-        for r in rows:
-            body.append({"stream": {"job": JOB, "source": r["source"], "level": r["level_name"], "cluster": r["cluster"]}, "values": [[str(v["ts_ns"]), v["line"]] for v in r["values"]]})
-            if len(body) == self.MOST_STREAMS:
-                self._send(body)
-                body = []
-        if body:
+        for body in requests({"source": r["source"], "level_name": r["level_name"], "cluster": r["cluster"], "lines": r["values"]} for r in rows):
             self._send(body)
         return WriterCommitMessage()
 

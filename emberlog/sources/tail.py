@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 SCHEMA = "source string, n long, value string"
-MOST_BYTES = 8 << 20  # of a file in one batch
+MOST_BYTES = 8 << 20  # of a file in one batch, unless a line alone is longer
 
 
 class TailSource(DataSource):
@@ -74,6 +74,11 @@ def _lines(path: str, done: int, lines: int, stop: int | None = None) -> tuple[l
     with open(path, "rb") as file:
         file.seek(done)
         data = file.read(MOST_BYTES if stop is None else stop - done)
+        if stop is None and b"\n" not in data:  # a long line: read on to its end, if that is written yet
+            parts = [data]
+            while parts[-1] and b"\n" not in parts[-1]:
+                parts.append(file.read(MOST_BYTES))
+            data = b"".join(parts)
     end = data.rfind(b"\n") + 1
     out = []
     for raw in data[:end].split(b"\n")[:-1]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import severity, text
 from ..operators.parsing import parse_with
+from ..scratch import folder
 
 SURFACED = "source string, line_no long, ts timestamp, level int, message string, template string, is_new boolean"
 
@@ -37,7 +36,7 @@ def flag_new(surfaced: DataFrame, forget_after: str | None = None) -> DataFrame:
             state.remove()
             return
         known = state.exists
-        # only the earliest line can be new, and the rows of a hot signature need not be gathered to find it
+        # only the earliest line can be new; a signature's rows are held in its first batch only
         first = None
         held: list[pd.DataFrame] = []
         for rows in batches:
@@ -63,27 +62,21 @@ def only_new(surfaced: DataFrame) -> DataFrame:
     return surfaced.dropDuplicates(["source", "template"])
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or, where that isn't set, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="emberlog-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
-def run_available(stream: DataFrame, folder: str) -> DataFrame:
+def run_available(stream: DataFrame, where: str) -> DataFrame:
     """Run a streaming query to the end of its input, into Parquet; the result is read back."""
-    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     spark = stream.sparkSession
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return spark.read.schema(stream.schema).parquet(f"{where}/out")
 
 
 def novelty_of_table(spark: SparkSession, entries: DataFrame, least: int) -> DataFrame:
     """A whole table of entries through the stateful stream: it is laid down as files and then streamed."""
-    folder = scratch(spark)
+    where = folder(spark, "stream")
     kept = entries.where(severity.at_least(F.col("level"), least)).select("source", "line_no", "ts", "level", "message", text.normalize(F.col("message")).alias("template"))
-    kept.write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(kept.schema).parquet(f"{folder}/in")
-    return run_available(flag_new(stream), folder).select("source", "line_no", "level", "template", "is_new")
+    kept.write.parquet(f"{where}/in")
+    stream = spark.readStream.schema(kept.schema).parquet(f"{where}/in")
+    return run_available(flag_new(stream), where).select("source", "line_no", "level", "template", "is_new")
 
 
 def head_format(spark: SparkSession, path: str, sample: int = 20) -> str:
