@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, read, release, slices, stored, text_bytes, word_hashes, words_of
+from .common import SQL_LOWER, SQL_UPPER, mix, read, release, slices, stored, text_bytes, word_hashes, words_of
 
 WINDOW = 10
 BLOCK = 2
@@ -232,6 +232,24 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, window: int = WIN
     return out.select(*[F.col(x).alias(c) for c, x in own.items()], *[F.col(f"__found.{c}").alias(c) for c in _ADDED])
 
 
+def _words_sql(table: str, key: str) -> str:
+    return rf"SELECT {key}, coalesce(regexp_extract_all(translate(text, '{SQL_UPPER}', '{SQL_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM {table}"
+
+
+#: Every window of every text, joined as strings.
+SQL = f"""
+WITH ite AS ({_words_sql("benchmark", "item_id")}), doc AS ({_words_sql("documents", "doc_id")}),
+win AS (SELECT DISTINCT item_id, m, array_to_string(w[k:k + m - 1], ' ') AS s FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM (SELECT *, least({WINDOW}, len(w)) AS m FROM ite WHERE len(w) > 0))),
+siz AS (SELECT DISTINCT m FROM win),
+gra AS (SELECT doc_id, m, k, array_to_string(w[k:k + m - 1], ' ') AS s FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM doc, siz WHERE len(w) >= m)),
+hit AS (SELECT doc_id, g.m, k, item_id FROM gra g JOIN win USING (m, s)),
+wor AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + m)) AS p FROM (SELECT DISTINCT doc_id, m, k FROM hit)) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS digest FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(wor.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256, coalesce(wor.n, 0) > 0 AS contaminated
+FROM doc LEFT JOIN wor USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
 def query(spark, sf_dir):
     found = benchmark_hits(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -16,4 +16,9 @@ QUERIES = {
     "op9_minhash_near_dedup": minhash_dedup.query,
     "op10_language_id": language_id.query,
 }
-ORACLE_SQL: dict[str, str] = {"op6_chat_formatting": chat_format.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_embedding_near_dedup": embedding_dedup.SQL,
+    "op5_benchmark_decontamination": benchmark_decontamination.SQL,
+    "op6_chat_formatting": chat_format.SQL,
+    "op9_minhash_near_dedup": minhash_dedup.SQL,
+}

@@ -79,6 +79,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: For the operators' SQL: A-Z lowered and nothing else.
+SQL_UPPER, SQL_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def components_sql(nodes: str, edges: str) -> str:
+    """DuckDB: the common table com (id, component) of ``nodes`` (id) under ``edges`` (a, b), each given both ways."""
+    return f"""com(id, component) USING KEY (id) AS (
+  SELECT id, id FROM {nodes}
+  UNION
+  SELECT e.a, min(c.component) FROM com c JOIN {edges} e ON e.b = c.id JOIN recurring.com o ON o.id = e.a WHERE c.component < o.component GROUP BY e.a)"""
+
+
 # --- byte-level text -----------------------------------------------------------------------------------------------
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, mix, read, stored
+from .common import components_sql, groups, mix, read, stored
 from .components import connected_components
 
 THRESHOLD = 0.93
@@ -212,5 +212,17 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("n_links") == 0))
 
 
+#: All pairs of a label, by cosine in double precision.
+SQL = f"""
+WITH RECURSIVE sou AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+edg AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sou a JOIN sou b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= {THRESHOLD}),
+nod AS (SELECT vec_id AS id FROM embeddings),
+{components_sql("nod", "edg")},
+cou AS (SELECT a, count(*) AS n FROM edg GROUP BY a)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, component AS component_id, id = component AS kept FROM com LEFT JOIN cou ON a = id
+"""
+
+
 def query(spark, sf_dir):
     return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))

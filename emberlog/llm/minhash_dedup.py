@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, mix, read, slices, stored, swept, word_hashes, words_of
+from .common import SQL_LOWER, SQL_UPPER, components_sql, groups, mix, read, slices, stored, swept, word_hashes, words_of
 from .components import connected_components
 
 WIDTH = 5  # words of a shingle
@@ -326,5 +326,18 @@ def keep_one(documents: DataFrame) -> DataFrame:
     return kept.select(*[F.col(x).alias(c) for c, x in own.items()])
 
 
+#: The links are those of all pairs that share a shingle, by exact sets.
+SQL = rf"""
+WITH RECURSIVE wor AS (SELECT doc_id, regexp_extract_all(translate(text, '{SQL_UPPER}', '{SQL_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shi AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + {WIDTH - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {WIDTH - 1}) + 1)) AS k FROM wor WHERE len(w) > 0)),
+siz AS (SELECT doc_id, count(*) AS n FROM shi GROUP BY doc_id),
+bot AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shi a JOIN shi b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+edg AS (SELECT a, b FROM bot JOIN siz x ON x.doc_id = a JOIN siz y ON y.doc_id = b WHERE {DEN} * common >= {NUM} * (x.n + y.n - common)),
+nod AS (SELECT doc_id AS id FROM documents),
+{components_sql("nod", "edg")}
+SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component AS component_id, id = component AS kept FROM com LEFT JOIN siz ON siz.doc_id = id
+"""
+
+
 def query(spark, sf_dir):
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
