@@ -3,10 +3,10 @@
 A document is its token ids and an end id. Whole windows are cut off long documents; what remains of each document, a
 rest of 1 to ``window - 1`` tokens, is packed with others:
 
-1. the lengths' histogram (at most ``window - 1`` bins) is gathered, and shallow combinations of two or three lengths
-   that fill a window exactly are enumerated;
-2. non-negative least squares gives how often each combination should be used; the counts are rounded down as far as
-   the bins allow;
+1. the lengths' histogram (at most ``window - 1`` bins) is gathered, and all combinations of two or three lengths that
+   fill a window exactly are enumerated;
+2. non-negative least squares gives how often each combination should be used; the counts are rounded, cut where that
+   would overdraw a bin, and what they leave is solved again, until no combination is used any more;
 3. what is left is packed greedily, the longest that fits first; a gap that nothing fits is filled with the first
    tokens of a longer rest, whose other part goes back to the stock;
 4. the last tokens, less than a window, become sequences of a power of two each, which need no padding.
@@ -15,7 +15,7 @@ The plan names ranges of documents by length and running number, not documents,
 only; numbers are dealt by (task, length) counts, and no group of rows meets in one task.
 
 Defined cases: a null or empty text is its end id alone. Repeated rows and doc_ids are packed as often as they occur;
-a null doc_id is kept. An empty table gives no pieces. Long texts are cut; no token is dropped. Extra columns are
+a null doc_id is kept; doc_id is read as a long. An empty table gives no pieces. Long texts are cut; no token is dropped. Extra columns are
 ignored.
 """
 
@@ -36,48 +36,74 @@ from .token_ids import encoder
 
 WINDOW = 2048
 END_ID = 1
-FREQUENT = 96  # lengths that combinations of three are made of
-SWEEPS = 200
+SWEEPS, CLOSE = 150, 1e-3
 
 _PLAN = ["length", "part_start", "part_length", "low", "high", "sequence", "offset"]
 
 
-def combinations(histogram: np.ndarray, window: int) -> list[tuple[int, ...]]:
-    """Pairs and triples of lengths with documents that fill the window exactly."""
-    present = [int(x) for x in np.flatnonzero(histogram)]
-    held = set(present)
-    out: list[tuple[int, ...]] = [(a, window - a) for a in present if 2 * a <= window and window - a in held]
-    frequent = sorted(sorted(present, key=lambda x: (-histogram[x], x))[:FREQUENT])
-    for i, a in enumerate(frequent):
-        for b in frequent[i:]:
-            if (c := window - a - b) >= b and c in held:
-                out.append((a, b, c))
-    return out
+def combinations(histogram: np.ndarray, window: int) -> np.ndarray:
+    """Rows a <= b <= c of lengths that fill the window exactly and of which there are documents enough: all pairs (a is 0)
+    and triples. There are at most window^2 / 12 of them."""
+    have = np.zeros(max(window, len(histogram)), np.int64)
+    have[1 : len(histogram)] = histogram[1:]
+    present = np.flatnonzero(have)
+    out = [np.zeros((0, 3), np.int64)]
+    for a in [0, *present[present <= window // 3]]:
+        b = present[(present >= a) & (2 * present <= window - a)]
+        c = window - a - b
+        b, c = b[have[c] > 0], c[have[c] > 0]
+        enough = (have[b] >= 1 + (b == a)) & (have[c] >= 1 + (c == b) + ((c == b) & (b == a)))
+        out.append(np.stack([np.full(enough.sum(), a), b[enough], c[enough]], axis=1))
+    return np.concatenate(out)
+
+
+def solve_counts(histogram: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """min |A x - h| over x >= 0, where column c of A counts the lengths of combination c: accelerated projected gradient,
+    until the gradient that could still be followed is ``CLOSE`` of what it was at first."""
+    if not len(columns):
+        return np.zeros(0)
+    goal = histogram.astype(float)
+    goal[0] = 0
+    m = len(goal)
 
+    def at(x: np.ndarray) -> np.ndarray:
+        out = sum(np.bincount(columns[:, k], weights=x, minlength=m) for k in range(3))
+        out[0] = 0  # of pairs
+        return out
 
-def solve_counts(histogram: np.ndarray, columns: list[tuple[int, ...]]) -> np.ndarray:
-    """min |A x - h| over x >= 0, where column c of A counts the lengths of combination c: accelerated projected gradient."""
-    if not columns:
-        return np.zeros(0)
-    which = np.concatenate([np.full(len(c), i) for i, c in enumerate(columns)])
-    length = np.concatenate([np.array(c) for c in columns])
-    n, m = len(columns), len(histogram)
-    at = lambda x: np.bincount(length, weights=x[which], minlength=m)
-    back = lambda y: np.bincount(which, weights=y[length], minlength=n)
-    v = np.ones(n)
+    back = lambda y: y[columns[:, 0]] + y[columns[:, 1]] + y[columns[:, 2]]
+    v = np.ones(len(columns))
     for _ in range(20):
         v = back(at(v))
         v /= np.linalg.norm(v)
     step = 1 / (1.05 * np.linalg.norm(back(at(v))))
-    x = y = np.zeros(n)
-    t = 1.0
+    x = y = np.zeros(len(columns))
+    t, first = 1.0, None
     for _ in range(SWEEPS):
-        new = np.maximum(0, y - step * back(at(y) - histogram))
+        slope = back(at(y) - goal)
+        new = np.maximum(0, y - step * slope)
+        moved = np.linalg.norm(new - y)
+        first = first or moved
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        x, y, t = new, new + (t - 1) / s * (new - x), s
+        if np.sum((y - new) * (new - x)) > 0:  # overshot: momentum starts anew
+            s = 1.0
+            y = new
+        else:
+            y = new + (t - 1) / s * (new - x)
+        x, t = new, s
+        if moved <= CLOSE * first:
+            break
     return x
 
 
+def round_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole counts, the largest first, with their columns: each is rounded together with what earlier ones left over, so
+    that the sum is right to one half, however thinly the solution is spread."""
+    order = np.argsort(-x, kind="stable")
+    counts = np.diff(np.concatenate([[0], np.floor(np.cumsum(x[order]) + 0.5)])).astype(np.int64)
+    return order[counts > 0], counts[counts > 0]
+
+
 class Stock:
     """Rests to be packed: by length, ranges [low, high) of running numbers of (document rest length, start in it)."""
 
@@ -175,18 +201,24 @@ class Stock:
 def plan_rests(histogram: np.ndarray, window: int = WINDOW) -> pd.DataFrame:
     """Plan rows: documents number low..high-1 of a rest length lay part_start.. of part_length tokens at ``offset`` of sequences from ``sequence`` on."""
     stock = Stock(histogram)
-    columns = combinations(histogram, window)
-    counts = solve_counts(histogram.astype(float), columns)
-    for c in np.argsort(-counts, kind="stable"):
-        lengths = columns[c]
-        need = {x: lengths.count(x) for x in lengths}
-        times = min(int(counts[c]), *(stock.counts.get(x, 0) // n for x, n in need.items()))
-        if times > 0:
-            stock.emit(list(lengths), times)
+    made = True
+    while made:  # what rounding leaves is a histogram again
+        made = False
+        left = np.zeros(len(histogram), np.int64)
+        left[list(stock.counts)] = list(stock.counts.values())
+        columns = combinations(left, window)
+        for c, count in zip(*round_counts(solve_counts(left, columns)), strict=True):
+            lengths = [int(x) for x in columns[c] if x]
+            times = min(int(count), *(stock.counts.get(x, 0) // lengths.count(x) for x in lengths))
+            if times > 0:
+                stock.emit(lengths, times)
+                made = True
+    solved = stock.sequences
     stock.greedy(window)
     full = stock.sequences
     stock.tail()
     plan = pd.DataFrame(stock.plan, columns=_PLAN).astype("int64")
+    plan.attrs |= {"solved": solved, "full": full}  # sequences that least squares filled, and all full ones
     size = plan.groupby("sequence")["part_length"].transform("sum")
     return plan.assign(padded_to=np.where(plan["sequence"] < full, window, size).astype("int64"))
 
@@ -213,7 +245,7 @@ def _tokenised(documents: DataFrame, tokenizer: str, window: int) -> DataFrame:
                 n = len(n_tokens)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([task] * n, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([x % window for x in n_tokens], pa.int64()), pa.array(number, pa.int64()), pa.array(before, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary())], ["doc_id", "task", "doc_tokens", "rest", "number", "before", "crcs", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, task long, doc_tokens long, rest long, number long, before long, crcs array<long>, ids binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, task long, doc_tokens long, rest long, number long, before long, crcs array<long>, ids binary")
 
 
 def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
