@@ -12,7 +12,7 @@ At cosine 0.93 a table finds a pair with probability 0.82, so six miss one in ab
 `tests/llm` measures the recall against brute force. ``SCALE`` is the cells' fineness: a larger table wants a larger
 one, with more tables.
 
-Defined cases: a vector that is null, empty or zero, or holds a null or a number that isn't finite, or has a null label
+Labels of any type are compared as their text. Defined cases: a vector that is null, empty or zero, or holds a null or a number that isn't finite, or has a null label
 links with nothing, is its own component and is kept. Vectors of different lengths aren't compared. Rows that repeat a
 vec_id are vectors of their own under that id; a null vec_id counts as a link of others but names no component, and is
 kept only alone. Extra columns are ignored.
@@ -128,8 +128,8 @@ def _hashed(batches):
                 )
 
 
-def _new_pairs(codes: np.ndarray, u: np.ndarray, v: np.ndarray, table: int, cell: np.uint64) -> np.ndarray:
-    """Whether (u, v) hadn't met in an earlier table, or in a smaller cell of this one."""
+def _new_pairs(codes: np.ndarray, u: np.ndarray, v: np.ndarray, table: int, cell: np.ndarray) -> np.ndarray:
+    """Whether (u, v), which meet in ``cell``, hadn't met in an earlier table, or in a smaller cell of this one."""
     new = np.ones(len(u), bool)
     for t in range(table + 1):
         a, b = codes[u, t, 0], codes[v, t, 0]
@@ -163,10 +163,10 @@ def _compare(threshold: float):
                 continue
             get = lambda c: group.column(c).to_numpy()  # noqa: E731, B023
             node, copies, place, side, low = get("node"), get("copies"), get("place"), get("side"), get("low")
-            cell, n = np.int64(group.column("cell")[0].as_py()).view(np.uint64), group.num_rows
+            cell, n = get("cell").view(np.uint64), group.num_rows  # one cell, unless two tasks' hashes are equal
             x = np.stack([np.frombuffer(b, np.float64) for b in group.column("vector").to_pylist()])
             codes = np.stack([np.frombuffer(b, np.uint64) for b in group.column("codes").to_pylist()]).reshape(n, TABLES, 1 + PROBES)
-            table, lives = int(place[0]) // (1 + PROBES), place % (1 + PROBES) == 0
+            table, lives = place // (1 + PROBES), place % (1 + PROBES) == 0
             links = np.zeros(n, np.int64)
             label = np.arange(n)
             for a in range(0, n, STEP):
@@ -174,11 +174,14 @@ def _compare(threshold: float):
                 near = x[a:b] @ x[a:].T >= threshold
                 u, v = np.nonzero(near)
                 u, v = u + a, v + a
-                ok = (u < v) & (lives[u] | lives[v]) & ((side[u] != side[v]) | (low[u] == 2))
+                ok = (u < v) & (cell[u] == cell[v]) & (lives[u] | lives[v]) & ((side[u] != side[v]) | (low[u] == 2))
                 u, v = u[ok], v[ok]
                 for k in range(0, len(u), 1 << 18):
                     p, q = u[k : k + (1 << 18)], v[k : k + (1 << 18)]
-                    new = _new_pairs(codes, p, q, table, cell)
+                    new = np.zeros(len(p), bool)
+                    for t in np.unique(table[p]):
+                        of = np.flatnonzero(table[p] == t)
+                        new[of] = _new_pairs(codes, p[of], q[of], int(t), cell[p[of]])
                     p, q = p[new], q[new]
                     links += np.bincount(p, copies[q], n).astype(np.int64) + np.bincount(q, copies[p], n).astype(np.int64)
                     label = _components(n, np.concatenate([label, p]), np.concatenate([np.arange(n), q]))
@@ -190,7 +193,7 @@ def _compare(threshold: float):
 
 def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, embedding, label) -> one row for each vector: vec_id, n_links, component_id, kept."""
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.when(F.col("label").isNotNull(), F.xxhash64(F.col("label").cast("string"))).alias("label"))
     sound = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("node", F.when(F.col("label").isNotNull() & sound, F.xxhash64("label", "embedding")))
     nodes = stored(rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("embedding").alias("embedding")))
