@@ -21,12 +21,8 @@ from emberlog.llm import benchmark_decontamination, minhash_dedup, packing, qual
 from emberlog.llm.common import read, stored
 
 
-BATCH_ROWS = 1000  # of an Arrow batch: documents are long
-
-
 def _plain(docs: DataFrame) -> DataFrame:
     """The documents with names that no operator uses, but for doc_id and text."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"__c{i}") for i, c in enumerate(docs.columns)])
 
 
