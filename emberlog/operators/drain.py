@@ -39,14 +39,25 @@ def _route(messages: DataFrame, depth: int, max_children: int) -> DataFrame:
 
 
 def _mine_leaf(threshold: float):
-    """A leaf's messages in line order: the group each joins, and the group's template at that moment."""
+    """A leaf's messages in line order: the group each joins, and the group's template at that moment.
+
+    A message that was seen before joins the group it joined then, unless a template of the leaf has changed since.
+    """
 
     def mine(leaf: pd.DataFrame) -> pd.DataFrame:
         leaf = leaf.sort_values("line_no", kind="stable")
         firsts: list[int] = []
         shapes: list[list[str]] = []
         joined, running = [], []
+        known: dict[tuple[str, ...], tuple[int, int]] = {}
+        changes = 0
         for line, tokens in zip(leaf["line_no"], leaf["tokens"], strict=True):
+            key = tuple(tokens)
+            when, best = known.get(key, (-1, None))
+            if when == changes:
+                joined.append(best)
+                running.append(" ".join(shapes[best]))
+                continue
             tokens = list(tokens)
             fits = [sum(a in (WILDCARD, b) for a, b in zip(shape, tokens, strict=True)) / len(tokens) for shape in shapes]
             best = max(range(len(fits)), key=fits.__getitem__, default=None)
@@ -54,8 +65,11 @@ def _mine_leaf(threshold: float):
                 best = len(shapes)
                 firsts.append(int(line))
                 shapes.append(tokens)
-            else:
-                shapes[best] = [a if a == b else WILDCARD for a, b in zip(shapes[best], tokens, strict=True)]
+                changes += 1
+            elif (merged := [a if a == b else WILDCARD for a, b in zip(shapes[best], tokens, strict=True)]) != shapes[best]:
+                shapes[best] = merged
+                changes += 1
+            known[key] = changes, best
             joined.append(best)
             running.append(" ".join(shapes[best]))
         return pd.DataFrame({"source": leaf["source"], "line_no": leaf["line_no"], "first": [firsts[g] for g in joined], "running": running, "final": [" ".join(shapes[g]) for g in joined]})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, severity, text
 from ..operators import anomaly, clusters, correlation, digests, drain, parsing, semantic
 from ..scratch import folder, kept
+from ..sinks import push
 from ..sources import text as sources
 from ..streaming import live
 from .adapter import ENTRIES_SQL, clusters_sql, entries, normalize_sql, sql_literal, table
@@ -513,6 +514,25 @@ def _trigger(spark, sf_dir):
     return t.select("source", F.col("trigger").cast("long").alias("trigger"), "is_root", "effects", *_six("severity_rank", "confidence"))
 
 
+PICKED = """
+nod AS (SELECT t.source, t."order", first_seen, level, (SELECT count(*) FROM lin_ l WHERE l.source = t.source AND l.cause = t."order") AS effects, (SELECT count(*) FROM lin_ l WHERE l.source = t.source AND l.effect = t."order") AS inbound FROM tim t),
+pic AS (SELECT source, "order" AS start FROM nod
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY CASE WHEN effects > 0 AND inbound = 0 THEN 0 WHEN level >= 40 THEN 1 ELSE 2 END, first_seen, CASE WHEN effects > 0 AND inbound = 0 THEN -level ELSE 0 END, "order") = 1),
+ste AS (SELECT source, cause, effect FROM lin_ QUALIFY row_number() OVER (PARTITION BY source, cause ORDER BY round(jaccard, 3) DESC, effect) = 1),
+way AS (SELECT source, 0 AS step, start AS "order", [start] AS been FROM pic WHERE source IN (SELECT source FROM lin_)
+  UNION ALL SELECT w.source, step + 1, effect, list_append(been, effect) FROM way w JOIN ste s ON s.source = w.source AND s.cause = w."order" WHERE NOT list_contains(been, effect))"""
+
+
+@_query("cascade_chain", f'{LINKED}, {PICKED} SELECT source, step, "order" FROM way')
+def _chain(spark, sf_dir):
+    """Links are one for each effect at most and effects at most ``TOP`` a source, so the walk is the driver's."""
+    _, found, trigger = correlation.correlate(*_correlated(spark, sf_dir))
+    start = {r["source"]: r["trigger"] for r in trigger.collect()}
+    rows = [r.asDict() for r in found.orderBy("source", "effect").collect()]
+    ways = {source: correlation.chain([(r["cause"], r["effect"], r["jaccard"]) for r in rows if r["source"] == source], t) for source, t in start.items()}
+    return spark.createDataFrame([(source, k, int(order)) for source, way in ways.items() for k, order in enumerate(way)], "source string, step int, order long")
+
+
 @_query("affected_components", f'{LINKED} SELECT source, coalesce(component, \'(uncomponented)\') AS component, min("order") AS first FROM tim GROUP BY ALL')
 def _components(spark, sf_dir):
     c = correlation.components_in_order(correlation.timeline(_correlated(spark, sf_dir)[1]))
@@ -609,6 +629,36 @@ def _pack(spark, sf_dir):
     return digests.pack(digests.build_digests(_clusters(spark, sf_dir)[1]), 200).select("source", F.col("rank").cast("long").alias("rank"), "digest", "tokens", "batch")
 
 
+@_query(
+    "surface_lines",
+    f"""{BASE} SELECT source, line_no, level, date_trunc('second', ts) AS ts, message || ' by [REDACTED:EMAIL]' AS message, {normalize_sql("message || ' by u' || line_no || '@mail.org'")} AS template FROM lin WHERE level >= 40""",
+)
+def _surface(spark, sf_dir):
+    """What following the logs shows, secrets masked: stateless, so a table does as well as a stream."""
+    raw = F.concat("raw", F.lit(" by u"), F.col("line_no").cast("string"), F.lit("@mail.org"))
+    lines = entries(spark, sf_dir).select("source", F.col("line_no").alias("n"), raw.alias("value"))
+    return live.surface(lines, redact=True)
+
+
+@_query(
+    "push_requests",
+    f"""{BASE}, row_ AS (SELECT source, CASE level WHEN 50 THEN 'critical' WHEN 40 THEN 'error' ELSE 'warning' END AS level, substr(sha1({normalize_sql('message')}), 1, 10) AS cluster, epoch_us(ts) * 1000 AS ts_ns, line_no, raw FROM lin WHERE level >= 30)
+    SELECT source, level, cluster, ts_ns, raw AS line, 'emberlog' AS job FROM row_""",
+)
+def _push(spark, sf_dir):
+    """The bodies that would be sent, a row for each line."""
+    kept_ = clusters.streams(entries(spark, sf_dir).where("level >= 30"))
+
+    def bodies(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for body in push.requests(r._asdict() for r in batch.rename(columns={"values": "lines"}).itertuples(index=False)):
+                yield pd.DataFrame([(x["stream"]["source"], x["stream"]["level"], x["stream"]["cluster"], int(ns), line, x["stream"]["job"]) for x in body for ns, line in x["values"]], columns=["source", "level", "cluster", "ts_ns", "line", "job"])
+
+    return kept_.mapInPandas(bodies, "source string, level string, cluster string, ts_ns long, line string, job string")
+
+
 @_query("stream_novelty", f"{BASE}, tem AS (SELECT source, line_no, level, {normalize_sql('message')} AS template FROM ent WHERE level >= 40) SELECT source, line_no, level, template, row_number() OVER (PARTITION BY source, template ORDER BY line_no) = 1 AS is_new FROM tem")
 def _novelty(spark, sf_dir):
     """The streaming job over all of ``events``, until it has nothing left to read."""
