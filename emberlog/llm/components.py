@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .common import release, stored
 
 
+FILE_ROWS = 200_000  # of a written table; a table of more rows has more files and tasks
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a long, b long) links -> (node, component): the smallest node that links reach.
 
@@ -19,13 +22,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     both = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = stored(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    few = -(-both.count() // FILE_ROWS) or 1  # files of a round's table: its rows are fewer than the links
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"))
+    labels = stored(labels.coalesce(few))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
         step = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("old"), F.least("component", "m").alias("c1"))
         jump = labels.select(F.col("node").alias("root"), F.col("component").alias("up"))
         moved = step.join(jump, step.c1 == jump.root).select("node", "old", F.least("c1", "up").alias("component"))
-        new = stored(moved)
+        new = stored(moved.coalesce(few))
         changed = new.where("component <> old").limit(1).count()
         release(labels)
         labels = new

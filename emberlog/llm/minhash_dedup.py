@@ -12,8 +12,8 @@ similarity. Links are confirmed in two passes, so that a bucket never becomes al
    sets where sketches are near enough, inside the task where they meet. A pair inside one component can't change the
    result and isn't looked at; over ``MEETING`` nodes are compared block by block in tasks of their own.
 
-A row of a bucket carries one bit of each of 64 samples; nodes that differ in over ``MOST_BITS`` of them, which four
-standard deviations put below the threshold, aren't paired at all.
+A row of a bucket carries one bit of each of 64 samples; nodes that differ from their leader in over ``MOST_BITS`` of them,
+which four standard deviations put below the threshold, aren't held against it in the first pass.
 
 The chance that bands miss a pair of similarity 0.75 is (1 - 0.75^ROWS)^BANDS, about 2e-5; the sketch's bound is more
 than four standard deviations below the threshold. Nothing is capped: every pair that bands propose is judged.
@@ -39,6 +39,7 @@ NUM, DEN = 75, 100  # documents link at NUM / DEN similarity and above
 ROWS, BANDS = 5, 40
 SKETCH_WORDS = 8  # 64-bit words of an odd sketch
 MOST_BITS = 18  # of the 64 bits that a bucket's rows carry may differ; at similarity 0.75 it is 8 +- 2.6
+MEMBERS = 256  # of a leader that are held against it together
 MEETING, MOST_SHINGLES = 1024, 1 << 20  # nodes of a block, and shingles of their sets
 LEAST_ESTIMATE = 0.60  # sketches estimating less than this aren't confirmed
 
@@ -175,12 +176,44 @@ def _sets_of(wanted: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataF
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
-    """The (a, b) pairs whose full shingle sets are similar enough."""
+    """The (a, b) pairs whose full shingle sets are similar enough. The members b of a leader a are dealt out to groups of
+    about ``MEMBERS``, each of which gets the leader's set once, however many members there are."""
     sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, documents)
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(DEN * common >= NUM * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
+    dealt = pairs.join(stored(salts), "a").withColumn("salt", F.pmod(F.xxhash64("b", F.lit(5)), F.col("salts")).cast("int"))
+    members = dealt.select("a", "salt", F.col("b").alias("node")).join(sets, "node").select("a", "salt", F.lit(1).alias("place"), "node", "shingles")
+    leaders = dealt.select("a", "salt").distinct().withColumn("node", F.col("a")).join(sets, "node").select("a", "salt", F.lit(0).alias("place"), "node", "shingles")
+    met = members.unionByName(leaders).repartition("a", "salt").sortWithinPartitions("a", "salt", "place")
+    return met.mapInArrow(_like_their_leader, "a long, b long")
+
+
+def _like_their_leader(batches):
+    """Of rows by (a, salt), the leader's first: (a, b) of the members that are similar enough. A group is never held."""
+    of, lead = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        a, salt, place, node = (batch.column(k).to_numpy() for k in range(4))
+        lists = batch.column(4)
+        offsets = lists.offsets.to_numpy()
+        values = lists.values.to_numpy().view(np.uint64)
+        cuts = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (salt[1:] != salt[:-1])) + 1), len(a)]
+        out = [np.zeros((2, 0), np.int64)]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if low == high:
+                continue
+            if place[low] == 0:
+                of, lead = (a[low], salt[low]), values[offsets[low] : offsets[low + 1]].copy()
+                low += 1
+            if low == high or of != (a[low], salt[low]):
+                continue
+            own = values[offsets[low] : offsets[high]]
+            same = lead[np.minimum(np.searchsorted(lead, own), len(lead) - 1)] == own
+            common = np.add.reduceat(same.astype(np.int64), offsets[low:high] - offsets[low])
+            n = np.diff(offsets[low : high + 1])
+            ok = DEN * common >= NUM * (len(lead) + n - common)
+            out.append(np.stack([a[low:high][ok], node[low:high][ok]]))
+        found = np.concatenate(out, axis=1)
+        if found.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
 
 def _links_across(shared: DataFrame, components: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
