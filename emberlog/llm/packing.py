@@ -3,10 +3,10 @@
 A document is its token ids and an end id. Whole windows are cut off long documents; what remains of each document, a
 rest of 1 to ``window - 1`` tokens, is packed with others:
 
-1. the lengths' histogram (at most ``window - 1`` bins) is gathered, and all combinations of two or three lengths that
-   fill a window exactly are enumerated;
+1. the lengths' histogram (at most ``window - 1`` bins) is gathered, and the combinations of two or three lengths that
+   fill a window exactly are enumerated; ``COLUMNS`` of them are drawn, more of frequent lengths;
 2. non-negative least squares gives how often each combination should be used; the counts are rounded, cut where that
-   would overdraw a bin, and what they leave is solved again, until no combination is used any more;
+   would overdraw a bin, and what they leave is solved again with others, until no combination is used any more;
 3. what is left is packed greedily, the longest that fits first; a gap that nothing fits is filled with the first
    tokens of a longer rest, whose other part goes back to the stock;
 4. the last tokens, less than a window, become sequences of a power of two each, which need no padding.
@@ -36,14 +36,16 @@ from .token_ids import encoder
 
 WINDOW = 2048
 END_ID = 1
+COLUMNS = 8192  # combinations that are solved for at once; each is three ranges of the plan
 SWEEPS, CLOSE = 150, 1e-3
+MOST_BROADCAST = 500_000  # plan rows of 64 bytes that are sent to every task; a longer plan is joined by length
 
 _PLAN = ["length", "part_start", "part_length", "low", "high", "sequence", "offset"]
 
 
-def combinations(histogram: np.ndarray, window: int) -> np.ndarray:
+def combinations(histogram: np.ndarray, window: int, most: int | None = None, seed: int = 0) -> np.ndarray:
     """Rows a <= b <= c of lengths that fill the window exactly and of which there are documents enough: all pairs (a is 0)
-    and triples. There are at most window^2 / 12 of them."""
+    and triples, at most window^2 / 12 of them; of more than ``most``, so many drawn by their rarest length's count."""
     have = np.zeros(max(window, len(histogram)), np.int64)
     have[1 : len(histogram)] = histogram[1:]
     present = np.flatnonzero(have)
@@ -54,7 +56,12 @@ def combinations(histogram: np.ndarray, window: int) -> np.ndarray:
         b, c = b[have[c] > 0], c[have[c] > 0]
         enough = (have[b] >= 1 + (b == a)) & (have[c] >= 1 + (c == b) + ((c == b) & (b == a)))
         out.append(np.stack([np.full(enough.sum(), a), b[enough], c[enough]], axis=1))
-    return np.concatenate(out)
+    rows = np.concatenate(out)
+    if most is None or len(rows) <= most:
+        return rows
+    have[0] = have.max()
+    wait = np.random.default_rng(seed).exponential(size=len(rows)) / have[rows].min(axis=1)
+    return rows[np.sort(np.argpartition(wait, most)[:most])]
 
 
 def solve_counts(histogram: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -201,12 +208,12 @@ class Stock:
 def plan_rests(histogram: np.ndarray, window: int = WINDOW) -> pd.DataFrame:
     """Plan rows: documents number low..high-1 of a rest length lay part_start.. of part_length tokens at ``offset`` of sequences from ``sequence`` on."""
     stock = Stock(histogram)
-    made = True
+    made, rounds = True, 0
     while made:  # what rounding leaves is a histogram again
-        made = False
+        made, rounds = False, rounds + 1
         left = np.zeros(len(histogram), np.int64)
         left[list(stock.counts)] = list(stock.counts.values())
-        columns = combinations(left, window)
+        columns = combinations(left, window, COLUMNS, rounds)
         for c, count in zip(*round_counts(solve_counts(left, columns)), strict=True):
             lengths = [int(x) for x in columns[c] if x]
             times = min(int(count), *(stock.counts.get(x, 0) // lengths.count(x) for x in lengths))
@@ -266,9 +273,9 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFram
     whole = placed.select("doc_id", "doc_tokens", "before", F.posexplode("crcs").alias("k", "ids_crc32")).select(
         "doc_id", (F.col("k") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("before") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(window).cast("long").alias("padded_to")
     )
-    plans = spark.createDataFrame(plan, ", ".join(f"{c} long" for c in [*_PLAN, "padded_to"]))
+    plans = spark.createDataFrame(plan, ", ".join(f"{c} long" for c in [*_PLAN, "padded_to"])).withColumnRenamed("length", "plan_length")
     fits = (F.col("rest") == F.col("plan_length")) & (F.col("number") >= F.col("low")) & (F.col("number") < F.col("high"))
-    rests = placed.where("rest > 0").join(F.broadcast(plans.withColumnRenamed("length", "plan_length")), fits)  # the plan's size follows from the window
+    rests = placed.where("rest > 0").join(F.broadcast(plans) if len(plan) <= MOST_BROADCAST else plans, fits)
     rests = rests.select(
         "doc_id", (F.col("doc_tokens") - F.col("rest") + F.col("part_start")).alias("start"), F.col("part_length").alias("length"),
         F.crc32(F.expr("substring(ids, cast(4 * part_start + 1 as int), cast(4 * part_length as int))")).alias("ids_crc32"), "doc_tokens",
