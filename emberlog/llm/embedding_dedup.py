@@ -26,13 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components_sql, groups, mix, read, stored
+from .common import components_sql, groups, mix, read, stored, swept
 from .components import connected_components
 
 THRESHOLD = 0.93
 TABLES, PROBES, SCALE = 6, 4, 0.55
 BLOCK = 1024
+PER = TABLES * (1 + PROBES)
 STEP = 512  # rows of a cell that are compared with the others at once
 
 
@@ -97,35 +99,25 @@ def cells(vectors: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return out
 
 
-def _hashed(batches):
-    """A row for each node and cell: table * (1 + PROBES) + place in the table, the code, all codes, the vector."""
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _coded(batches):
+    """The nodes with the codes of their cells: of each table the own one, then those visited."""
     for batch in batches:
         for at in range(0, batch.num_rows, STEP):
             rows = batch.slice(at, STEP)
-            lists = rows.column(rows.schema.get_field_index("embedding")).to_pylist()
-            sizes = np.array([len(x) for x in lists])
-            labels = rows.column(rows.schema.get_field_index("label")).to_numpy(zero_copy_only=False).astype(np.int64)
+            column = rows.column(rows.schema.get_field_index("embedding"))
+            labels = rows.column(rows.schema.get_field_index("label")).to_numpy()
+            sizes = np.diff(column.offsets.to_numpy())
+            codes = np.empty((rows.num_rows, PER), np.int64)
             for size in np.unique(sizes):
                 of = np.flatnonzero(sizes == size)
-                x = unit(np.array([lists[i] for i in of], np.float64))
-                code = cells(x, labels[of])
-                per = TABLES * (1 + PROBES)
-                every = code.reshape(len(of), per)
-                part = rows.take(pa.array(of))
-                repeated = pa.array(np.repeat(np.arange(len(of)), per))
-                codes = [r.tobytes() for r in every]
-                vectors = [r.tobytes() for r in x]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(every.ravel().view(np.int64)),
-                        pa.array(np.tile(np.arange(per, dtype=np.int32), len(of))),
-                        part.column(part.schema.get_field_index("node")).take(repeated),
-                        part.column(part.schema.get_field_index("copies")).take(repeated),
-                        pa.array(codes, pa.binary()).take(repeated),
-                        pa.array(vectors, pa.binary()).take(repeated),
-                    ],
-                    ["cell", "place", "node", "copies", "codes", "vector"],
-                )
+                codes[of] = cells(unit(_matrix(column.take(pa.array(of)))), labels[of]).reshape(len(of), PER).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, PER, dtype=np.int32)), pa.array(codes.ravel()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, lists], [*rows.schema.names, "codes"])
 
 
 def _new_pairs(codes: np.ndarray, u: np.ndarray, v: np.ndarray, table: int, cell: np.ndarray) -> np.ndarray:
@@ -157,55 +149,67 @@ def _components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _compare(threshold: float):
+    def links_of(group: pa.Table):
+        get = lambda c: group.column(c).to_numpy()
+        node, copies, place, side, low = get("node"), get("copies"), get("place"), get("side"), get("low")
+        cell, n = get("cell").view(np.uint64), group.num_rows  # one cell, unless two tasks' hashes are equal
+        x = unit(_matrix(group.column("embedding").combine_chunks()))
+        codes = _matrix(group.column("codes").combine_chunks()).view(np.uint64).reshape(n, TABLES, 1 + PROBES)
+        table, lives = place // (1 + PROBES), place % (1 + PROBES) == 0
+        links = np.zeros(n, np.int64)
+        label = np.arange(n)
+        for a in range(0, n, STEP):
+            b = min(a + STEP, n)
+            near = x[a:b] @ x[a:].T >= threshold
+            u, v = np.nonzero(near)
+            u, v = u + a, v + a
+            ok = (u < v) & (cell[u] == cell[v]) & (lives[u] | lives[v]) & ((side[u] != side[v]) | (low[u] == 2))
+            u, v = u[ok], v[ok]
+            for k in range(0, len(u), 1 << 18):
+                p, q = u[k : k + (1 << 18)], v[k : k + (1 << 18)]
+                new = np.zeros(len(p), bool)
+                for t in np.unique(table[p]):
+                    of = np.flatnonzero(table[p] == t)
+                    new[of] = _new_pairs(codes, p[of], q[of], int(t), cell[p[of]])
+                p, q = p[new], q[new]
+                links += np.bincount(p, copies[q], n).astype(np.int64) + np.bincount(q, copies[p], n).astype(np.int64)
+                label = _components(n, np.concatenate([label, p]), np.concatenate([np.arange(n), q]))
+        if (some := links > 0).any():
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(node[label[some]])], ["node", "links", "root"])
+
     def run(batches):
         for group in groups(batches, "task"):
-            if group.num_rows < 2:
-                continue
-            get = lambda c: group.column(c).to_numpy()  # noqa: E731, B023
-            node, copies, place, side, low = get("node"), get("copies"), get("place"), get("side"), get("low")
-            cell, n = get("cell").view(np.uint64), group.num_rows  # one cell, unless two tasks' hashes are equal
-            x = np.stack([np.frombuffer(b, np.float64) for b in group.column("vector").to_pylist()])
-            codes = np.stack([np.frombuffer(b, np.uint64) for b in group.column("codes").to_pylist()]).reshape(n, TABLES, 1 + PROBES)
-            table, lives = place // (1 + PROBES), place % (1 + PROBES) == 0
-            links = np.zeros(n, np.int64)
-            label = np.arange(n)
-            for a in range(0, n, STEP):
-                b = min(a + STEP, n)
-                near = x[a:b] @ x[a:].T >= threshold
-                u, v = np.nonzero(near)
-                u, v = u + a, v + a
-                ok = (u < v) & (cell[u] == cell[v]) & (lives[u] | lives[v]) & ((side[u] != side[v]) | (low[u] == 2))
-                u, v = u[ok], v[ok]
-                for k in range(0, len(u), 1 << 18):
-                    p, q = u[k : k + (1 << 18)], v[k : k + (1 << 18)]
-                    new = np.zeros(len(p), bool)
-                    for t in np.unique(table[p]):
-                        of = np.flatnonzero(table[p] == t)
-                        new[of] = _new_pairs(codes, p[of], q[of], int(t), cell[p[of]])
-                    p, q = p[new], q[new]
-                    links += np.bincount(p, copies[q], n).astype(np.int64) + np.bincount(q, copies[p], n).astype(np.int64)
-                    label = _components(n, np.concatenate([label, p]), np.concatenate([np.arange(n), q]))
-            if (some := links > 0).any():
-                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(node[label[some]])], ["node", "links", "root"])
+            sizes = np.diff(group.column("embedding").combine_chunks().offsets.to_numpy())
+            for size in np.unique(sizes):  # one, unless two tasks' hashes are equal
+                of = np.flatnonzero(sizes == size)
+                if len(of) > 1:
+                    yield from links_of(group if len(of) == group.num_rows else group.take(pa.array(of)))
 
     return run
 
 
 def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, embedding, label) -> one row for each vector: vec_id, n_links, component_id, kept."""
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.when(F.col("label").isNotNull(), F.xxhash64(F.col("label").cast("string"))).alias("label"))
+    single = isinstance(embeddings.schema["embedding"].dataType, T.ArrayType) and isinstance(embeddings.schema["embedding"].dataType.elementType, T.FloatType)
+    vector = F.col("embedding") if single else F.col("embedding").cast("array<double>")
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("embedding"), F.when(F.col("label").isNotNull(), F.xxhash64(F.col("label").cast("string"))).alias("label"))
     sound = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("node", F.when(F.col("label").isNotNull() & sound, F.xxhash64("label", "embedding")))
-    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("embedding").alias("embedding")))
-    hashed = stored(nodes.select("node", "copies", "label", "embedding").mapInArrow(_hashed, "cell long, place int, node long, copies long, codes binary, vector binary"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    nodes = stored(nodes.mapInArrow(_coded, T.StructType([*nodes.schema.fields, T.StructField("codes", T.ArrayType(T.LongType()))])))
+    # keys alone are counted and dealt out; vectors follow to the cells that several nodes have in common
+    keys = nodes.select("node", F.posexplode("codes").alias("place", "cell"))
     lives = (F.col("place") % (1 + PROBES) == 0).cast("int")
-    sizes = hashed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(lives).alias("lived_in")).where("n > 1 and lived_in = 1")
-    blocks = sizes.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = hashed.join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    sizes = keys.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(lives).alias("lived_in")).where("n > 1 and lived_in = 1")
+    blocks = stored(sizes.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    dealt = keys.join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select(task.alias("task"), "cell", "place", "node", "copies", "codes", "vector", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), F.when(F.col("own") == F.col("other"), 2).otherwise(0).alias("low"))
-    found = stored(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_compare(threshold), "node long, links long, root long"))
+    dealt = dealt.select(task.alias("task"), "cell", "place", "node", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), F.when(F.col("own") == F.col("other"), 2).otherwise(0).alias("low"))
+    swept(embeddings.sparkSession)
+    met = dealt.join(nodes.select("node", "copies", "codes", "embedding"), "node")
+    found = stored(met.repartition("task").sortWithinPartitions("task").mapInArrow(_compare(threshold), "node long, links long, root long"))
+    swept(embeddings.sparkSession)
     component = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     of = nodes.select("node", "copies", "least").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
