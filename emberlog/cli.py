@@ -132,6 +132,8 @@ def diff(spark, args, least: int) -> int:
     sides = [clusters.cluster_and_rank(_entries(spark, [p], args.format), None, least, method)[1] for p in (args.before, args.after)]
     changes = clusters.diff_clusters(*sides)
     shown = clusters.ordered_diff(changes if args.all else changes.where("status <> 'unchanged'"))
+    counts = {r["status"]: r["count"] for r in clusters.status_counts(changes).collect()}  # five at most
+    print(reports.render_counts({x: counts[x] for x in clusters.STATUS_ORDER if x in counts}))
     rows = (r.asDict() | {"level": incident.NAMES.get(r["level"], "?")} for r in shown.toLocalIterator())
     columns = ["status", "level", "before", "after", "template"]
     print(reports.table(list(itertools.islice(rows, TABLE_ROWS)), columns))

@@ -20,6 +20,7 @@ TEMPLATE_RULES = (
     (r"'[^']*'", "<STR>"),
     (r"\s+", " "),
 )
+#: Fixed value: the tag at a message's beginning.
 COMPONENT = r"^[\s>]*[\[(]([A-Za-z0-9_.\-/]+)[\])]"
 #: What is redacted, in order.
 SECRETS = (

@@ -165,7 +165,27 @@ def table(rows: list[dict], columns: list[str]) -> str:
     return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in cells)
 
 
+def _titled(title: str, rows: list[dict], columns: list[str]) -> str:
+    return f"{title}\n{'-' * len(title)}\n{table(rows, columns)}" if rows else ""
+
+
 def render(f: Findings) -> str:
-    """Clusters and evidence for a terminal."""
-    rows = [{"level": NAMES.get(c["level"], "?"), "count": c["count"], "component": c["component"] or "", "template": c["template"][:90]} for c in f.clusters]
-    return table(rows, ["level", "count", "component", "template"]) + "\n\n" + evidence(f)
+    """Clusters, timeline, cascade, bursts and evidence for a terminal."""
+    named = lambda c: {"level": NAMES.get(c["level"], "?"), "count": c["count"], "component": c.get("component") or "", "template": c["template"][:90]}
+    events = [named(e) | {"": ">" if e["order"] == f.trigger else "", "first seen": f"{e['first_seen']:%H:%M:%S}"} for e in f.timeline]
+    links = [{"cause": _node(f, x["cause"]), "effect": _node(f, x["effect"]), "lag": f"{x['lag_seconds']:.1f}s", "overlap": x["jaccard"], "confidence": x["confidence"]} for x in f.cascade]
+    bursts = [named(b) | {"in one window": f"{b['peak_count']} ({b['concentration']:.0%})", "confidence": b["confidence"]} for b in f.bursts]
+    blocks = [
+        _titled("Signatures", [named(c) for c in f.clusters], ["level", "count", "component", "template"]),
+        _titled("Timeline (> is the likely trigger)", events, ["", "first seen", "level", "count", "component", "template"]),
+        _titled("Cascade", links, ["cause", "effect", "lag", "overlap", "confidence"]),
+        _titled("Bursts", bursts, ["level", "in one window", "confidence", "template"]),
+        evidence(f),
+    ]
+    more = [f"{n} more {kind} aren't shown" for kind, n in f.not_shown.items()]
+    return "\n\n".join(x for x in [*blocks, *more] if x)
+
+
+def render_counts(counts: dict[str, int]) -> str:
+    """A diff's first line: how many signatures of each status there are."""
+    return ", ".join(f"{n} {status}" for status, n in counts.items()) or "no signatures"
