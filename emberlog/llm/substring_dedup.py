@@ -41,7 +41,7 @@ BLOCK_WORDS = 4
 ALONE_WORDS = 6
 WINDOW = 50
 GRAM = 20
-HOT = 64  # occurrences of an anchor that are taken together
+HOT = 32  # occurrences of an anchor that are taken together
 SLICE = 1 << 18  # bytes of texts that are parsed together
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kept_in", pa.int64())]))
@@ -224,6 +224,13 @@ def _window_rows(batches):
             if not (wanted := salts > 0).any():
                 continue
             row, first, n, anchor, salts = (x[wanted] for x in (row, first, n, anchor, salts))
+            # a text that repeats itself has one anchor again and again: such neighbours are one row, up to a length
+            follows = np.zeros(len(row), bool)
+            follows[1:] = (row[1:] == row[:-1]) & (anchor[1:] == anchor[:-1]) & (first[1:] == first[:-1] + n[:-1])
+            begin = np.maximum.accumulate(np.where(follows, 0, np.arange(len(row))))
+            chunk = (first - first[begin]) // WINDOW
+            new = np.flatnonzero(~follows | np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+            row, first, n, anchor, salts = row[new], first[new], np.add.reduceat(n, new), anchor[new], salts[new]
             each = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
             of = pa.array(row)
             yield pa.RecordBatch.from_arrays(
@@ -294,7 +301,7 @@ def _later_windows(batches):
         # neighbours that are cut for one document's sake make one span
         goes_on = np.zeros(len(k), bool)
         same = lambda x: x[k][1:] == x[k][:-1]  # noqa: E731, B023
-        goes_on[1:] = (k[1:] == k[:-1] + 1) & same(row) & same(ids[source]) & same(missing[source]) & (start[k][1:] == start[k][:-1] + 1)
+        goes_on[1:] = (w.at[k][1:] == w.at[k][:-1] + 1) & (start[k][1:] == start[k][:-1] + 1) & same(ids[row]) & same(missing[row]) & same(key[row]) & same(ids[source]) & same(missing[source])
         a = np.flatnonzero(~goes_on)
         b = np.append(a[1:], len(k)) - 1
         of = pa.array(row[k[a]])
@@ -402,10 +409,12 @@ def copied_places(documents: DataFrame) -> DataFrame:
     firsts = ranked(rows.where("salts > 1")).mapInArrow(_first_windows, "anchor long, salts int, digest long, doc_id long, text_key long, at int")
     shared = firsts.groupBy("anchor", "digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "at")).alias("first"), F.max("salts").alias("salts"), F.count(F.lit(1)).alias("n")).where("n > 1")
     seeds = shared.select("anchor", "salts", "first.doc_id", "first.text_key", "first.at", F.array("digest").alias("hashes"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("seed"))
-    later = ranked(rows.withColumn("seed", F.lit(False)).unionByName(seeds)).mapInArrow(_later_windows, "doc_id long, text_key long, at int, stop int, from_doc long")
+    later = stored(ranked(rows.withColumn("seed", F.lit(False)).unionByName(seeds)).mapInArrow(_later_windows, "doc_id long, text_key long, at int, stop int, from_doc long"))
+    release(found)
+    swept(documents.sparkSession)
     copies = of_units.unionByName(later).groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__of"))
     out = stored(copies.agg(F.collect_list(F.struct("at", "stop", "from_doc")).alias("__copies")))
-    for table in (met, first_units, found):
+    for table in (met, first_units, later):
         release(table)
     swept(documents.sparkSession)
     return out
