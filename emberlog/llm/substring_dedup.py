@@ -41,7 +41,7 @@ BLOCK_WORDS = 4
 ALONE_WORDS = 6
 WINDOW = 50
 GRAM = 20
-HOT = 32  # occurrences of an anchor that are taken together
+HOT = 1024  # occurrences of an anchor that are taken together
 SLICE = 1 << 18  # bytes of texts that are parsed together
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kept_in", pa.int64())]))

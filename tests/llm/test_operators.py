@@ -141,7 +141,7 @@ def brute_windows(rows, n=50, own_overlap=False):
     return out
 
 
-@pytest.mark.parametrize("hot", [32, 1])  # 1: every anchor goes the way of hot ones
+@pytest.mark.parametrize("hot", [1024, 1])  # 1: every anchor goes the way of hot ones
 def test_substring_windows(spark, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
     rng = random.Random(8)
